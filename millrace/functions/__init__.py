@@ -4,11 +4,11 @@ from millrace.functions.scalar import (  # noqa: F401
     compact_whitespace,
     empty_safe_words,
     iso_timestamp,
-    json_fields,
     mean_of_rounded,
     month_start,
     percent,
     ratio,
     severity_score,
     upper_trim,
+    with_json_fields,
 )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space as Python's str.split() sees it (the four separators 1C-1F included).
@@ -72,22 +72,26 @@ def severity_score(severity: Column) -> Column:
     return points
 
 
-def json_fields(payload: Column, names: Iterable[str]) -> dict[str, Column]:
-    """Named top-level scalars of a JSON text, all from one parse of the payload.
+def with_json_fields(df: DataFrame, payload: Column, names: Iterable[str]) -> DataFrame:
+    """Add named top-level scalars of a JSON text as string columns, all from one parse.
 
-    A nested object or array yields NULL, and so does a malformed payload. Only a
-    text that begins like a nested value is parsed a second time, to tell a
-    nested value from a string that merely starts with a bracket.
+    ``json_tuple`` is a generator, so neither a later filter nor a later projection can
+    multiply the parse, as they do with one path expression per field. A nested object or
+    array yields NULL, and so does a malformed payload. Only a value that begins like a
+    nested one is looked at again, to tell it from a string that starts with a bracket.
     """
     names = list(names)
-    schema = ", ".join(f"`{name}` string" for name in names)
-    parsed = F.from_json(payload, schema)
-    fields = {}
-    for name in names:
-        text = parsed.getField(name)
-        is_string = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), f"$.{name}", "variant")) == "STRING"
-        fields[name] = F.when(~text.startswith("{") & ~text.startswith("["), text).when(is_string, text)
-    return fields
+    text, found = "_json_text", {name: f"_json_{i}" for i, name in enumerate(names)}
+    wide = df.withColumn(text, payload).select("*", F.json_tuple(text, *names).alias(*found.values()))
+
+    def scalar(name: str) -> Column:
+        value = F.col(found[name])
+        node = F.try_variant_get(F.try_parse_json(F.col(text)), f"$.{name}", "variant")
+        is_string = F.schema_of_variant(node) == "STRING"
+        return F.when(~value.startswith("{") & ~value.startswith("["), value).when(is_string, value)
+
+    kept = [c for c in df.columns if c not in found]
+    return wide.select(*kept, *[scalar(name).alias(name) for name in names])
 
 
 def compact_whitespace(text: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SALTS = 64
 HOT_ROWS = 1_000_000
 HOT_KEYS = 2_000
+# Facts below this size cannot overload a task whatever their keys; adaptive execution uses the same limit.
+SKEW_BYTES = 256 << 20
 
 _HOT = "_millrace_hot"
 _SALT = "_millrace_salt"
@@ -59,16 +61,17 @@ def lookup_join(
 ) -> DataFrame:
     """Left or inner join to a lookup that is unique on ``keys``.
 
-    A lookup the optimizer already plans to broadcast never shuffles the facts, so
-    nothing more is done. Otherwise rows of hot keys get a salt taken from a hash of
+    Small facts, and a lookup the optimizer already plans to broadcast (which never
+    shuffles the facts), need nothing more than the plain join. Otherwise rows of hot keys get a salt taken from a hash of
     the row (stable when a task is retried), and the lookup rows of exactly those
     keys are repeated once per salt. Rows without a key are spread the same way.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports left and inner joins")
     keys = list(keys)
-    if not force_salt and planned_bytes(lookup) <= broadcast_limit(lookup):
-        return facts.join(lookup, keys, how)
+    if not force_salt:
+        if planned_bytes(facts) <= SKEW_BYTES or planned_bytes(lookup) <= broadcast_limit(lookup):
+            return facts.join(lookup, keys, how)
 
     hot = hot_keys(facts, keys, min_rows).withColumn(_HOT, F.lit(True))
     no_key = F.lit(False)

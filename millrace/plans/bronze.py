@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import json_fields
+from millrace.functions import with_json_fields
 from millrace.operators.dedup import dedup_latest
 from millrace.plans import schemas
 
@@ -77,12 +77,13 @@ def raw_envelope(records: DataFrame, now: Column) -> DataFrame:
 
 def project_training(records: DataFrame, now: Column) -> DataFrame:
     """Training records as text columns; the message key stands in for a missing record id."""
-    fields = json_fields(F.col("value").cast("string"), schemas.TMS_FIELDS)
-    fields["record_id"] = F.coalesce(fields["record_id"], F.col("key").cast("string"))
-    columns = [column.alias(name) for name, column in fields.items()]
-    return records.select(*columns, F.lit("TMS").alias("_source"), now.alias("_ingested_at")).where(
-        F.col("record_id").isNotNull()
-    )
+    parsed = with_json_fields(records.select("key", "value"), F.col("value").cast("string"), schemas.TMS_FIELDS)
+    return parsed.select(
+        F.coalesce("record_id", F.col("key").cast("string")).alias("record_id"),
+        *schemas.TMS_FIELDS[1:],
+        F.lit("TMS").alias("_source"),
+        now.alias("_ingested_at"),
+    ).where(F.col("record_id").isNotNull())
 
 
 def project_inventory(records: DataFrame, now: Column) -> DataFrame:
@@ -98,19 +99,19 @@ def project_inventory(records: DataFrame, now: Column) -> DataFrame:
         "movement_type",
         "valuation_amount_inr",
     ]
-    got = json_fields(F.col("value").cast("string"), names)
-    quantity = got["quantity"].try_cast("double").try_cast("int")
-    return records.select(
-        got["document_number"].alias("po_number"),
-        got["material_code"].alias("material_code"),
-        got["plant"].alias("plant"),
-        got["storage_location"].alias("storage_location"),
+    parsed = with_json_fields(records.select("value"), F.col("value").cast("string"), names)
+    quantity = F.col("quantity").try_cast("double").try_cast("int")
+    return parsed.select(
+        F.col("document_number").alias("po_number"),
+        "material_code",
+        "plant",
+        "storage_location",
         quantity.alias("planned_qty"),
         quantity.alias("actual_qty"),
-        got["uom"].alias("uom"),
-        got["posting_date"].try_cast("date").alias("posting_date"),
-        got["movement_type"].alias("cost_center"),
-        got["valuation_amount_inr"].try_cast("double").alias("total_cost"),
+        "uom",
+        F.col("posting_date").try_cast("date").alias("posting_date"),
+        F.col("movement_type").alias("cost_center"),
+        F.col("valuation_amount_inr").try_cast("double").alias("total_cost"),
         F.lit("INR").alias("currency"),
         F.lit("SAP_ECC_KAFKA").alias("_source"),
         now.alias("_ingested_at"),

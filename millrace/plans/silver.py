@@ -11,11 +11,11 @@ from millrace.functions import (
     cap_at,
     complete_units,
     iso_timestamp,
-    json_fields,
     month_start,
     ratio,
     severity_score,
     upper_trim,
+    with_json_fields,
 )
 from millrace.operators.dedup import keep_latest
 from millrace.operators.lookup import lookup_join
@@ -228,8 +228,7 @@ def production_orders(orders: DataFrame, sap: DataFrame) -> DataFrame:
 
 def _parsed(raw: DataFrame, names: list[str]) -> DataFrame:
     """Raw envelope rows with the payload's fields as text columns."""
-    fields = json_fields(F.col("_raw_payload"), names)
-    return raw.select(*[c.alias(n) for n, c in fields.items()], *_ENVELOPE_TAIL)
+    return with_json_fields(raw.select("_raw_payload", *_ENVELOPE_TAIL), F.col("_raw_payload"), names).drop("_raw_payload")
 
 
 def _newest_version(df: DataFrame, key: str) -> DataFrame:
