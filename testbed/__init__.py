@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def registered():
     """All queries by name."""
-    from testbed import models
+    from testbed import ingest, models
     from testbed.catalogue import ENTRIES
 
     if not ENTRIES:
-        for module in (models,):
+        for module in (models, ingest):
             module.register()
     return ENTRIES

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,16 @@ _CAPA_OPENED = "o_orderdate + 8401 * interval '1' day"
 
 _EVENT_BATCH = "concat('BATCH-', cast(cast(floor(event_id / 4) as bigint) as string))"
 
+# Tables with repeated rows: the n-th condition selects the rows that get copy number n.
+COPIES = {
+    "events_twice": ("events", ["true", "event_id % 20 = 0"]),
+    # Change events: creations, updates, deletions, their tombstones, and broken text.
+    "order_changes": (
+        "orders",
+        ["true", "o_orderkey % 3 = 0", "o_orderkey % 15 = 0", "o_orderkey % 15 = 0", "o_orderkey % 50 = 7"],
+    ),
+}
+
 INPUTS: dict[str, Input] = {
     # A second, older copy of every 20th event exercises de-duplication.
     "raw_mes_events": Input(
@@ -280,6 +291,37 @@ INPUTS: dict[str, Input] = {
             "timestamp": "o_orderdate",
         },
     ),
+    "kafka_cdc_orders": Input(
+        "order_changes",
+        {
+            "key": "concat('ORD-', cast(o_orderkey as string))",
+            "value": "case when copy = 3 then null when copy = 4 then concat('{\"op\": broken ', cast(o_orderkey as string)) else "
+            + _json(
+                before=("raw", "'null'"),
+                after=(
+                    "raw",
+                    "case when copy = 2 then 'null' else "
+                    + _json(
+                        order_id=("text", "concat('ORD-', cast(o_orderkey as string))"),
+                        product_code=("text", _product("o_custkey")),
+                        quantity=("raw", "cast(o_custkey + copy * 1000 as string)"),
+                        status=("text", "case copy when 0 then 'PLANNED' else 'IN_PROGRESS' end"),
+                    )
+                    + " end",
+                ),
+                source=(
+                    "raw",
+                    "concat('{\"table\": \"mes_production_orders\", \"ts_ms\": ', cast(1700000000000 + copy * 60000 as string), '}')",
+                ),
+                op=("text", "case copy when 0 then 'c' when 1 then 'u' else 'd' end"),
+            )
+            + " end",
+            "topic": "'cdc.mes.public.mes_production_orders'",
+            "partition": "0",
+            "offset": "o_orderkey * 5 + copy",
+            "timestamp": "o_orderdate",
+        },
+    ),
     "kafka_sap_inventory": Input(
         "lineitem",
         {
@@ -350,18 +392,18 @@ INPUTS: dict[str, Input] = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, zone-less timestamps read as UTC instants."""
-    if name == "events_twice":
-        events = table(spark, sf_dir, "events")
-        return events.withColumn("copy", F.lit(0)).unionByName(
-            events.where("event_id % 20 = 0").withColumn("copy", F.lit(1))
-        )
+    if name in COPIES:
+        source, conditions = COPIES[name]
+        rows = table(spark, sf_dir, source)
+        copies = [rows.where(c).withColumn("copy", F.lit(i)) for i, c in enumerate(conditions)]
+        return reduce(DataFrame.unionByName, copies)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.withColumns({c: F.col(c).cast("timestamp") for c in _TIMESTAMPS.get(name, [])})
 
 
-EVENTS_TWICE_SQL = (
-    "select *, 0 as copy from events union all select *, 1 as copy from events where event_id % 20 = 0"
-)
+def copies_sql(name: str) -> str:
+    source, conditions = COPIES[name]
+    return " union all ".join(f"select *, {i} as copy from {source} where {c}" for i, c in enumerate(conditions))
 
 
 def spark_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
