@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def registered():
     """All queries by name."""
-    from testbed import ingest, models
+    from testbed import ingest, models, relational, serving_queries
     from testbed.catalogue import ENTRIES
 
     if not ENTRIES:
-        for module in (models, ingest):
+        for module in (models, ingest, relational, serving_queries):
             module.register()
     return ENTRIES

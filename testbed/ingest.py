@@ -15,7 +15,7 @@ from millrace.sources import cdc, files, kafka
 from testbed import inputs
 from testbed.catalogue import add
 from testbed.columns import present, shown
-from testbed.models import COLUMNS, model, relation
+from testbed.models import COLUMNS, relation, stored_models
 from testbed.oracle import INGESTED_SQL, scalar, statement
 
 RAW_MES = " ".join(COLUMNS["bronze_mes_events"].split()[:11])
@@ -300,11 +300,10 @@ PARTITION_MERGE = """(select event_id, machine_id, case when n % 10 = 3 then 'FI
 
 def pipeline_metrics(spark, sf):
     source = inputs.bronze_tables(spark, sf)
-    silver = {n: model(spark, sf, n) for n in ("silver_mes_events", "silver_quality_events", "silver_production_orders")}
-    gold = {
-        n: model(spark, sf, n)
-        for n in ("gold_oee_dashboard", "gold_batch_summary", "gold_quality_kpis", "gold_production_efficiency")
-    }
+    silver_names = ("silver_mes_events", "silver_production_orders", "silver_quality_events")
+    gold_names = ("gold_oee_dashboard", "gold_batch_summary", "gold_quality_kpis", "gold_production_efficiency")
+    built = stored_models(spark, sf, *silver_names, *gold_names)
+    silver, gold = ({n: built[n] for n in names} for names in (silver_names, gold_names))
     first = {n: source[n] for n in ("mes_events", "iqms_orders", "trackwise_deviations", "sap_ecc_orders", "sop_documents")}
     suites = {n: quality.run_suite(silver[n], SUITES[n]) for n in ("silver_mes_events", "silver_quality_events")}
     return serving.pipeline_metrics({"bronze": first, "silver": silver, "gold": gold}, suites)

@@ -25,6 +25,7 @@ INGESTED = dt.datetime(2024, 2, 1, 6, 30, 0)
 EVENTS_AS_OF = dt.date(2024, 1, 31)
 ORDERS_AS_OF = dt.date(2001, 12, 1)
 CAPAS_AS_OF = dt.date(2024, 12, 1)
+OEE_AS_OF = dt.date(2001, 11, 5)
 
 INGESTED_SQL = "timestamp '2024-02-01 06:30:00'"
 

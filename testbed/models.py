@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from millrace.plans import registry
+from millrace.session import scratch
 from testbed import inputs
 from testbed.catalogue import add
 from testbed.columns import present, shown
@@ -91,6 +92,23 @@ def model(spark, sf_dir: str, name: str, as_of: dt.date | None = None):
     return registry.build(name, inputs.bronze_tables(spark, sf_dir), inputs.context(when))
 
 
+def stored(spark, df, label: str):
+    """The rows written to the shared folder and read back, for queries that use them several times."""
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def stored_models(spark, sf_dir: str, *names: str, as_of: dt.date | None = None) -> dict:
+    """Several models, each materialised before the next is built from it, as the pipeline does."""
+    done = {}
+    bronze = inputs.bronze_tables(spark, sf_dir)
+    context = inputs.context(as_of or inputs.EVENTS_AS_OF)
+    for name in names:
+        done[name] = stored(spark, registry.build(name, bronze, context, done), name)
+    return done
+
+
 def relation(name: str) -> str:
     layer, _, rest = name.partition("_")
     return f"{layer[0]}_{rest}"
