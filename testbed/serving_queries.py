@@ -59,25 +59,25 @@ def _rate_sql() -> str:
         ("Trackwise", "_kafka_offset", "b_trackwise_capas"),
     ):
         parts.append(
-            f"select date_trunc('minute', at) as time, '{metric}' as metric, count(*) as value from (select _ingested_at "
-            f"- ({number} % 3000) * interval 1 minute as at from {source}) "
-            "where at >= timestamp '2024-02-01 06:30:00' - interval 24 hour group by 1"
+            f"select date_trunc('minute', stamp) as time, '{metric}' as metric, count(*) as value from (select _ingested_at "
+            f"- ({number} % 3000) * interval 1 minute as stamp from {source}) "
+            "where stamp >= timestamp '2024-02-01 06:30:00' - interval 24 hour group by 1"
         )
     return "(" + " union all ".join(parts) + ")"
 
 
 def storage_bytes(spark, sf):
-    """Bytes per table as listed, next to what the catalogue of files says about rows."""
+    """Listed files and bytes per table, next to the rows the table holds."""
     root = scratch(spark, "lake")
     paths = {}
     for name in ("iqms_orders", "trackwise_deviations"):
         paths[name] = tables.table_path(root, "bronze", name)
         tables.write_layer_table(inputs.bronze_tables(spark, sf)[name], paths[name])
     listed = tables.storage_files(spark, paths)
-    total = serving.storage_bytes(listed).select((F.col("storage_bytes") > 0).alias("has_bytes"))
-    # File sizes depend on the writer, so the comparison is on rows of the listed files.
-    found = [row["file_path"] for row in listed.select("file_path").collect()]
-    return spark.read.parquet(*found).agg(F.count(F.lit(1)).alias("rows_in_files")).crossJoin(F.broadcast(total))
+    # Byte counts depend on the writer; that there are some does not.
+    sizes = listed.groupBy("table").agg((F.sum("file_size") > 0).alias("has_bytes"))
+    rows = serving.row_counts({name: spark.read.parquet(path) for name, path in paths.items()})
+    return rows.join(sizes, "table")
 
 
 def serve_latest(spark, sf):
@@ -123,7 +123,7 @@ TRACE = """select 'bronze.iqms_orders' as "table", order_id as key, count(*) as
 
 def chart_metrics(spark, sf):
     metrics = serving.chart_metrics(model(spark, sf, "gold_oee_dashboard"), model(spark, sf, "gold_quality_kpis"))
-    return present(metrics, "chart series time:ts value:4")
+    return present(metrics, "chart series time:ts value:9")
 
 
 CHARTS = f"""(select 'total_batches' as chart, null as series, null::timestamp as time, sum(total_batches)::double as value from g_quality_kpis
@@ -198,7 +198,8 @@ def register() -> None:
         "serve_storage_bytes",
         storage_bytes,
         statement(
-            "select (select count(*) from b_iqms_orders) + (select count(*) from b_trackwise_deviations) as rows_in_files, true as has_bytes"
+            "select 'iqms_orders' as \"table\", count(*) as rows, true as has_bytes from b_iqms_orders "
+            "union all select 'trackwise_deviations', count(*), true from b_trackwise_deviations"
         ),
     )
     add("serve_latest_rows", serve_latest, shown(LATEST, "_source_system _kafka_key _ingested_at:ts payload_preview"))
@@ -267,7 +268,7 @@ def register() -> None:
         shown("g_quality_kpis", kpis),
     )
     add("serve_freshness", freshness, shown(FRESH, "table rows last_ingest:ts"))
-    add("serve_chart_metrics", chart_metrics, shown(CHARTS, "chart series time:ts value:4"))
+    add("serve_chart_metrics", chart_metrics, shown(CHARTS, "chart series time:ts value:9"))
     detail = "batch_id product_code production_start:ts production_end:ts actual_qty:4 yield_pct:2 batch_status"
     add(
         "serve_detail_table",
