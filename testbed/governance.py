@@ -214,9 +214,13 @@ def with_list(body: str, recursive: bool = False) -> str:
 # --- access --------------------------------------------------------------------------------------------
 
 
+_MARTS = ("silver_sap_inventory", "gold_sap_inventory_mart", "silver_tms_training", "gold_training_compliance_mart")
+
+
 def visible_tables(spark, sf):
     """What each role may read, with the rows behind it."""
-    counts = _tracked_counts(spark, sf)
+    marts = {registry.qualified(n): df for n, df in stored_models(spark, sf, *_MARTS).items()}
+    counts = serving.row_counts(marts).unionByName(_tracked_counts(spark, sf))
     catalog = counts.select(
         F.split_part("table", F.lit("."), F.lit(1)).alias("layer"), F.split_part("table", F.lit("."), F.lit(2)).alias("table"), "rows"
     )
@@ -232,10 +236,13 @@ def visible_tables(spark, sf):
     return merged
 
 
+_MART_COUNTS = " union all ".join(f"select '{registry.qualified(n)}', count(*) from {relation(n)}" for n in _MARTS)
 VISIBLE = (
-    f"vols as {_COUNTS} select role, split_part(t, '.', 1) as layer, split_part(t, '.', 2) as \"table\", n as rows "
+    f"vols as ({_COUNTS} union all {_MART_COUNTS}) select role, split_part(t, '.', 1) as layer, split_part(t, '.', 2) as \"table\", n as rows "
     "from vols join (values ('data_engineer', 'bronze'), ('data_engineer', 'silver'), ('data_engineer', 'gold'), "
-    "('analyst', 'silver'), ('analyst', 'gold')) r(role, layer) on r.layer = split_part(t, '.', 1)"
+    "('analyst', 'silver'), ('analyst', 'gold')) r(role, layer) on r.layer = split_part(t, '.', 1) "
+    "union all select role, 'gold', split_part(t, '.', 2), n from vols join (values ('qa_team', 'gold.gold_training_compliance_mart'), "
+    "('executive', 'gold.gold_training_compliance_mart'), ('executive', 'gold.gold_sap_inventory_mart')) r(role, t) using (t)"
 )
 
 _PLANT_POLICY = secure.Policy("executive", ("silver",), row_filter="plant", hashed=("batch_number",))
@@ -328,6 +335,7 @@ def analyze_tables(spark, sf):
         )
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rows = spark.read.parquet(path).count()
+    spark.sql(f"drop database `{database}` cascade")  # the described values are already fetched
     return merged.withColumn("row_count", F.lit(rows).cast("bigint"))
 
 

@@ -323,6 +323,28 @@ INPUTS: dict[str, Input] = {
             "timestamp": "o_orderdate",
         },
     ),
+    # Answers of every kind: complete, without parts, and with unusable or excessive confidences.
+    "answers": Input(
+        "conversations",
+        {
+            "conv_id": "conv_id",
+            "turn": "turn",
+            "response": "concat(case when conv_id % 7 = 0 then '' else 'Sure. ANSWER:  ' end, text, "
+            "case conv_id % 5 when 0 then '' when 1 then ' CONFIDENCE: 0.85' when 2 then ' CONFIDENCE: very high' "
+            "when 3 then '\nCONFIDENCE: 1.7\n' else ' CONFIDENCE: .25 ' end, "
+            "case when conv_id % 3 = 0 then '' else concat('SOURCES: doc', cast(turn as string), '.txt') end)",
+        },
+        "role = 'assistant'",
+    ),
+    "questions": Input(
+        "conversations",
+        {
+            "conv_id": "conv_id",
+            "turn": "turn",
+            "question": "concat(text, case conv_id % 4 when 0 then ' What is the OEE?' when 1 then ' Which PLANT made it?' else '' end)",
+        },
+        "role = 'user'",
+    ),
     "kafka_sap_inventory": Input(
         "lineitem",
         {
@@ -410,7 +432,7 @@ def copies_sql(name: str) -> str:
 def spark_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spec = INPUTS[name]
     rows = table(spark, sf_dir, spec.source).where(spec.where)
-    if planned_bytes(rows) < SMALL_INPUT:
+    if name.startswith(("raw_", "kafka_")) and planned_bytes(rows) < SMALL_INPUT:
         # Real drops and topics arrive in many parts; a small file is one row group and would be one task.
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
     shaped = rows.selectExpr(*[f"{expr} as `{column}`" for column, expr in spec.columns.items()])
