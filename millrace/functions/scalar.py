@@ -10,8 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Unicode white space as Python's str.split() sees it (the four separators 1C-1F included).
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# Fixed value: white space as Python's str.split() sees it. Spelled out, it matches faster than a Unicode class.
+WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 # Points per deviation severity.
 SEVERITY_POINTS = {"CRITICAL": 3, "MAJOR": 2, "MINOR": 1}
@@ -101,5 +101,4 @@ def compact_whitespace(text: Column) -> Column:
 
 def empty_safe_words(text: Column) -> Column:
     """Array of words; an empty or blank text has no words (not one empty word)."""
-    compact = compact_whitespace(text)
-    return F.when(compact == "", F.array().cast("array<string>")).otherwise(F.split(compact, " "))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITESPACE), "")

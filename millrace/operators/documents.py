@@ -122,15 +122,20 @@ def chunk_documents(df: DataFrame, text: str, size: int = CHUNK_WORDS, overlap:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below the chunk size")
     step = size - overlap
-    worded = df.withColumn("_words", empty_safe_words(F.col(text))).where(F.size("_words") > 0)
-    starts = F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))
+    worded = df.withColumn("_words", empty_safe_words(F.col(text)))
+    starts = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))).otherwise(
+        F.array().cast("array<int>")
+    )
     pieces = F.transform(starts, lambda start: F.array_join(F.slice("_words", start + 1, size), " "))
+    # The outer form on purpose: for the plain one the planner derives a "not empty" filter, pushes
+    # it to the scan, and so splits every text again, once per piece.
+    total = F.floor((F.size("_words") - 1) / step).cast("int") + 1
+    # The count is taken from the words, so the list of pieces need not travel with every piece.
     return (
-        worded.withColumn("_pieces", pieces)
-        .drop("_words")
-        .select("*", F.size("_pieces").alias("total_chunks"), F.posexplode("_pieces").alias("chunk_index", "chunk_text"))
+        worded.select(*df.columns, total.alias("total_chunks"), pieces.alias("_pieces"))
+        .select(*df.columns, "total_chunks", F.posexplode_outer("_pieces").alias("chunk_index", "chunk_text"))
+        .where(F.col("chunk_index").isNotNull())
         .withColumn("page_number", F.col("chunk_index") + 1)
-        .drop("_pieces")
     )
 
 

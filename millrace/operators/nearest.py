@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.dedup import keep_first
@@ -16,7 +16,7 @@ NO_DAY = -2_147_483_648
 _SLOT = "_millrace_slot"
 
 
-def _slot(ts):
+def _slot(ts: Column) -> Column:
     """Calendar day and whether the time is past midnight, as one integer."""
     day = F.to_date(ts)
     past_midnight = (ts > day.cast("timestamp")).cast("int")
@@ -45,60 +45,53 @@ def nearest_dated(
     payload = [c for c in candidates.columns if c != key]
     preference = [F.col(c).asc_nulls_last() for c in prefer]
     best_of_day = keep_first(candidates.where(F.col(key).isNotNull()), [key, candidate_date], preference)
-    best = best_of_day.select(
+    offers = best_of_day.select(
         key,
         F.col(candidate_date).alias("_day"),
+        F.lit(0).alias("_kind"),
         F.struct(*[F.col(c).alias(c) for c in payload]).alias("_pick"),
+        F.lit(None).cast("int").alias(_SLOT),
     )
 
     slotted = facts.withColumn(_SLOT, _slot(F.col(fact_ts)))
     wanted = slotted.select(key, _SLOT).where(F.col(key).isNotNull()).distinct()
-    wanted_days = wanted.where(F.col(_SLOT) != NO_DAY).withColumn(
-        "_day", F.date_from_unix_date(F.floor(F.col(_SLOT) / 2).cast("int"))
+    day_of_slot = F.date_from_unix_date(F.floor(F.col(_SLOT) / 2).cast("int"))
+    demands = wanted.select(
+        key,
+        F.when(F.col(_SLOT) != NO_DAY, day_of_slot).alias("_day"),
+        F.lit(1).alias("_kind"),
+        F.lit(None).cast(offers.schema["_pick"].dataType).alias("_pick"),
+        _SLOT,
     )
 
-    timeline = best.where(F.col("_day").isNotNull()).select(
-        key, "_day", F.lit(0).alias("_kind"), "_pick", F.lit(None).cast("int").alias(_SLOT)
-    ).unionByName(
-        wanted_days.select(
-            key, "_day", F.lit(1).alias("_kind"), F.lit(None).cast(best.schema["_pick"].dataType).alias("_pick"), _SLOT
-        )
-    )
+    def ranked(pick: str, *first) -> Column:
+        # Structs compare field by field with NULL first, hence the leading null flags.
+        fields = list(first)
+        for name in prefer:
+            fields += [F.col(f"{pick}.{name}").isNull(), F.col(f"{pick}.{name}")]
+        return F.struct(*fields)
+
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
     forward = Window.partitionBy(key).orderBy("_day", "_kind").rowsBetween(*up_to_here)
     backward = Window.partitionBy(key).orderBy(F.col("_day").desc(), F.col("_kind").desc()).rowsBetween(*up_to_here)
-    neighbours = (
-        timeline.withColumn("_before", F.last("_pick", ignorenulls=True).over(forward))
-        .withColumn("_after", F.last("_pick", ignorenulls=True).over(backward))
+    dated = F.when(F.col("_day").isNotNull(), F.col("_pick"))
+    answered = (
+        offers.unionByName(demands)
+        .withColumn("_dated", dated)
+        .withColumns(
+            {
+                "_before": F.last("_dated", ignorenulls=True).over(forward),
+                "_after": F.last("_dated", ignorenulls=True).over(backward),
+                # For a fact without a timestamp, or a key without a dated candidate.
+                "_any": F.min_by("_pick", F.when(F.col("_kind") == 0, ranked("_pick"))).over(Window.partitionBy(key)),
+            }
+        )
         .where(F.col("_kind") == 1)
     )
-    before_day = F.col(f"_before.{candidate_date}")
-    after_day = F.col(f"_after.{candidate_date}")
-    before_gap = F.datediff(F.col("_day"), before_day)
-    after_gap = F.datediff(after_day, F.col("_day")) - F.pmod(F.col(_SLOT), F.lit(2))
-
-    def rank_fields(side: str) -> list:
-        # Structs compare field by field with NULL first, hence the leading null flags.
-        fields = []
-        for name in prefer:
-            fields += [F.col(f"{side}.{name}").isNull(), F.col(f"{side}.{name}")]
-        return fields
-
-    after_wins = F.col("_before").isNull() | (
-        F.struct(after_gap, *rank_fields("_after")) < F.struct(before_gap, *rank_fields("_before"))
-    )
-    dated = neighbours.select(
-        key, _SLOT, F.when(F.col("_after").isNotNull() & after_wins, F.col("_after")).otherwise(F.col("_before")).alias("_dated")
-    )
-
-    # Used when a fact has no timestamp (any candidate) or a key has no dated candidate.
-    fallback = keep_first(candidates.where(F.col(key).isNotNull()), [key], preference).select(
-        key, F.struct(*[F.col(c).alias(c) for c in payload]).alias("_any")
-    )
-    answers = (
-        wanted.join(dated, [key, _SLOT], "left")
-        .join(fallback, [key], "left")
-        .select(key, _SLOT, F.coalesce(F.col("_dated"), F.col("_any")).alias("_pick"))
-        .select(key, _SLOT, "_pick.*")
-    )
+    before_gap = F.datediff(F.col("_day"), F.col(f"_before.{candidate_date}"))
+    after_gap = F.datediff(F.col(f"_after.{candidate_date}"), F.col("_day")) - F.pmod(F.col(_SLOT), F.lit(2))
+    after_wins = F.col("_before").isNull() | (ranked("_after", after_gap) < ranked("_before", before_gap))
+    nearest = F.when(F.col("_after").isNotNull() & after_wins, F.col("_after")).otherwise(F.col("_before"))
+    chosen = F.when(F.col("_day").isNull(), F.col("_any")).otherwise(F.coalesce(nearest, F.col("_any")))
+    answers = answered.select(key, _SLOT, chosen.alias("_pick")).select(key, _SLOT, "_pick.*")
     return lookup_join(slotted, answers, [key, _SLOT], "left").drop(_SLOT)

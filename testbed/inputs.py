@@ -9,6 +9,7 @@ are shared; every model is written twice, independently.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -429,12 +430,20 @@ def copies_sql(name: str) -> str:
     return " union all ".join(f"select *, {i} as copy from {source} where {c}" for i, c in enumerate(conditions))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Small files over all cores: such a file is one row group and would be read and worked on by one task.
+
+    Real drops, topics and tables arrive in many parts and are left as they are.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(spark.sparkContext.defaultParallelism) if planned_bytes(rows) < SMALL_INPUT else rows
+
+
 def spark_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spec = INPUTS[name]
     rows = table(spark, sf_dir, spec.source).where(spec.where)
-    if name.startswith(("raw_", "kafka_")) and planned_bytes(rows) < SMALL_INPUT:
-        # Real drops and topics arrive in many parts; a small file is one row group and would be one task.
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    if name.startswith(("raw_", "kafka_")):
+        rows = spread(rows)
     shaped = rows.selectExpr(*[f"{expr} as `{column}`" for column, expr in spec.columns.items()])
     if name.startswith("kafka_"):
         shaped = shaped.withColumns(
@@ -463,21 +472,42 @@ def context(as_of: dt.date = EVENTS_AS_OF) -> Context:
     return Context(as_of=as_of, loaded_at=now())
 
 
-def bronze_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All ten bronze tables as lazy plans over the given tables."""
-
-    def source(name: str) -> DataFrame:
-        return spark_input(spark, sf_dir, name)
-
-    return {
-        "mes_events": bronze.load_mes_events(source("raw_mes_events"), "csv_seed", now()),
-        "iqms_orders": bronze.load_iqms_orders(source("raw_iqms_orders"), "csv_seed", now()),
-        "trackwise_deviations": bronze.load_trackwise_deviations(source("raw_trackwise_deviations"), "nifi_s3_ingest", now()),
-        "sap_ecc_orders": bronze.load_sap_orders(source("raw_sap_ecc_orders"), "nifi_s3_ingest", now()),
-        "sop_documents": bronze.load_sop_documents(source("raw_sop_documents"), "csv_seed", now()),
-        "mes_production_orders": bronze.raw_envelope(source("kafka_mes_production_orders"), now()),
-        "iqms_quality_tests": bronze.raw_envelope(source("kafka_iqms_quality_tests"), now()),
-        "iqms_deviations": bronze.raw_envelope(source("kafka_iqms_deviations"), now()),
-        "trackwise_capas": bronze.raw_envelope(source("kafka_trackwise_capas"), now()),
-        "tms_training_completions": bronze.project_training(source("kafka_tms_training"), now()),
-    }
+_LOADS = {
+    "mes_events": lambda rows: bronze.load_mes_events(rows, "csv_seed", now()),
+    "iqms_orders": lambda rows: bronze.load_iqms_orders(rows, "csv_seed", now()),
+    "trackwise_deviations": lambda rows: bronze.load_trackwise_deviations(rows, "nifi_s3_ingest", now()),
+    "sap_ecc_orders": lambda rows: bronze.load_sap_orders(rows, "nifi_s3_ingest", now()),
+    "sop_documents": lambda rows: bronze.load_sop_documents(rows, "csv_seed", now()),
+    "mes_production_orders": lambda rows: bronze.raw_envelope(rows, now()),
+    "iqms_quality_tests": lambda rows: bronze.raw_envelope(rows, now()),
+    "iqms_deviations": lambda rows: bronze.raw_envelope(rows, now()),
+    "trackwise_capas": lambda rows: bronze.raw_envelope(rows, now()),
+    "tms_training_completions": lambda rows: bronze.project_training(rows, now()),
+}
+_SOURCES = {name: (f"raw_{name}" if f"raw_{name}" in INPUTS else f"kafka_{name}") for name in _LOADS}
+_SOURCES["tms_training_completions"] = "kafka_tms_training"
+
+
+class BronzeTables(Mapping):
+    """The ten bronze tables as lazy plans; a plan is only drawn up for a table that is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._where, self._plans = (spark, sf_dir), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._plans:
+            self._plans[name] = _LOADS[name](spark_input(*self._where, _SOURCES[name]))
+        return self._plans[name]
+
+    def __contains__(self, name) -> bool:
+        return name in _LOADS
+
+    def __iter__(self):
+        return iter(_LOADS)
+
+    def __len__(self) -> int:
+        return len(_LOADS)
+
+
+def bronze_tables(spark: SparkSession, sf_dir: str) -> BronzeTables:
+    return BronzeTables(spark, sf_dir)

@@ -33,7 +33,7 @@ def files(spark, sf):
     docs = inputs.table(spark, sf, "documents").select(
         F.concat(F.lit("/docs/texts/"), "doc_id", kind).alias("path"), F.col("text").cast("binary").alias("content")
     )
-    return pages.unionByName(docs)
+    return inputs.spread(pages.unionByName(docs))
 
 
 def _html_sql(column: str) -> str:
@@ -78,7 +78,7 @@ WORDS = f"(select doc_id, string_split({compact('text')}, ' ') as w from documen
 
 
 def chunks(spark, sf):
-    cut = documents.chunk_documents(inputs.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    cut = documents.chunk_documents(inputs.spread(inputs.table(spark, sf, "documents").select("doc_id", "text")), "text")
     return cut.select("doc_id", "chunk_index", "total_chunks", "page_number", "chunk_text")
 
 
@@ -153,7 +153,7 @@ def register() -> None:
     add("extract_text", extract, shown(EXTRACTED, spec))
     add(
         "document_stats",
-        lambda s, sf: documents.document_stats(inputs.table(s, sf, "documents"), "text").select("doc_id", "char_count", "word_count"),
+        lambda s, sf: documents.document_stats(inputs.spread(inputs.table(s, sf, "documents")), "text").select("doc_id", "char_count", "word_count"),
         f"select doc_id, length(text) as char_count, case when {compact('text')} = '' then 0 else len(string_split({compact('text')}, ' ')) end "
         "as word_count from documents",
     )
