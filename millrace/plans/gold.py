@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import complete_units, mean_of_rounded, month_start, percent, ratio
+from millrace.plans.silver import batch_events
 
 # Audit label of the marts.
 DATA_SOURCE = "lakehouse.gold"
@@ -62,21 +63,24 @@ def oee_dashboard(mes: DataFrame) -> DataFrame:
 
 def batch_summary(mes: DataFrame, orders: DataFrame, quality: DataFrame) -> DataFrame:
     """One row per produced batch: order figures, deviations, release status and cycle time."""
-    produced = mes.groupBy("batch_id").agg(
-        F.min("product_code").alias("_product"),
-        F.min("line_id").alias("_line"),
-        F.min("event_ts").alias("production_start"),
-        F.max("event_ts").alias("production_end"),
-        F.count_if(F.col("dq_status") == "FAIL").alias("_failed_checks"),
+    produced = batch_events(mes).select(
+        "batch_id",
+        F.col("product_code").alias("_product"),
+        F.col("line_id").alias("_line"),
+        F.col("first_event_ts").alias("production_start"),
+        F.col("last_event_ts").alias("production_end"),
+        F.col("dq_fail_count").alias("_failed_checks"),
     )
-    ordered = orders.groupBy("batch_id").agg(
-        F.min("product_code").alias("product_code"),
-        F.min("line_id").alias("line_id"),
-        F.max("planned_qty").alias("planned_qty"),
-        F.max("actual_qty").alias("actual_qty"),
-        F.max("yield").alias("yield_pct"),
-        F.max("total_cost").alias("total_cost"),
-        F.max("cost_per_unit").alias("cost_per_unit"),
+    figures = {c: c for c in ("planned_qty", "actual_qty", "total_cost", "cost_per_unit")} | {"yield": "yield_pct"}
+    ordered = (
+        orders.groupBy("batch_id", "product_code", "line_id")
+        .agg(*[F.max(c).alias(name) for c, name in figures.items()])
+        .groupBy("batch_id")
+        .agg(
+            F.min("product_code").alias("product_code"),
+            F.min("line_id").alias("line_id"),
+            *[F.max(name).alias(name) for name in figures.values()],
+        )
     )
     deviating = quality.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("total_deviations"),

@@ -121,16 +121,39 @@ def mes_events(mes: DataFrame, orders: DataFrame) -> DataFrame:
     return cleaned.withColumn("dq_status", verdict)
 
 
-def quality_events(mes: DataFrame, deviations: DataFrame) -> DataFrame:
-    """Deviations of known batches with the batch's event history, severity points and resolution time."""
-    batches = mes.groupBy("batch_id").agg(
+def batch_events(mes: DataFrame) -> DataFrame:
+    """Event history per batch; of several products, names or lines the smallest stands for the batch.
+
+    Text cannot be kept in a hash aggregation's buffer, so asking for the smallest text of
+    each batch at once would sort all events. Texts are grouping keys first, which hashes
+    the events; only the few combinations per batch are then sorted.
+    """
+    combos = mes.groupBy("batch_id", "product_code", "product_name", "line_id").agg(
         F.min("event_ts").alias("first_event_ts"),
         F.max("event_ts").alias("last_event_ts"),
-        F.min("product_code").alias("_mes_product"),
-        F.min("product_name").alias("product_name"),
-        F.min("line_id").alias("line_id"),
         F.count(F.lit(1)).alias("mes_event_count"),
         F.count_if(F.col("status") == "FAIL").alias("mes_fail_count"),
+        F.count_if(F.col("dq_status") == "FAIL").alias("dq_fail_count"),
+    )
+    counts = ("mes_event_count", "mes_fail_count", "dq_fail_count")
+    return combos.groupBy("batch_id").agg(
+        *[F.min(c).alias(c) for c in ("product_code", "product_name", "line_id", "first_event_ts")],
+        F.max("last_event_ts").alias("last_event_ts"),
+        *[F.sum(c).alias(c) for c in counts],
+    )
+
+
+def quality_events(mes: DataFrame, deviations: DataFrame) -> DataFrame:
+    """Deviations of known batches with the batch's event history, severity points and resolution time."""
+    batches = batch_events(mes).select(
+        "batch_id",
+        "first_event_ts",
+        "last_event_ts",
+        F.col("product_code").alias("_mes_product"),
+        "product_name",
+        "line_id",
+        "mes_event_count",
+        "mes_fail_count",
     )
     upper_cased = deviations.withColumns({"severity": F.upper("severity"), "status": F.upper("status")})
     both = lookup_join(upper_cased, batches, ["batch_id"], "inner")
