@@ -21,7 +21,9 @@ def anti_join_existing(rows: DataFrame, existing: DataFrame | None, keys: Sequen
     fresh = keep_latest(rows, keys, [])
     if existing is None:
         return fresh
-    return fresh.join(existing.select(*keys).dropDuplicates(), keys, "left_anti")
+    stored = existing.select(*keys).dropDuplicates()
+    # A join on named keys moves them to the front; the table's column order is kept.
+    return fresh.join(stored, keys, "left_anti").select(*rows.columns)
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,7 +52,7 @@ def merge_by_key(target: DataFrame, updates: DataFrame, keys: Sequence[str], lat
     for key in keys:
         keyed = keyed & F.col(key).isNotNull()
     latest = keep_latest(updates.where(keyed), keys, latest_by)
-    kept = target.join(latest.select(*keys), keys, "left_anti")
+    kept = target.join(latest.select(*keys), keys, "left_anti").select(*target.columns)
     merged = kept.unionByName(latest, allowMissingColumns=True)
     return merged.unionByName(updates.where(~keyed), allowMissingColumns=True)
 
@@ -58,20 +60,3 @@ def merge_by_key(target: DataFrame, updates: DataFrame, keys: Sequence[str], lat
 def merge_schema_append(target: DataFrame, rows: DataFrame) -> DataFrame:
     """Append rows whose schema may have gained columns."""
     return target.unionByName(rows, allowMissingColumns=True)
-
-
-def touched_partitions(
-    target: DataFrame, updates: DataFrame, keys: Sequence[str], partition_col: str, latest_by: Sequence[str] = ()
-) -> DataFrame:
-    """The merged rows of only those partitions an update reaches.
-
-    Writing the result with ``partitionOverwriteMode=dynamic`` merges into a large
-    table without rewriting it. A partition is reached when an update lies in it or
-    when it holds the old version of an updated key.
-    """
-    keys = list(keys)
-    latest = keep_latest(updates, keys, latest_by)
-    old_days = target.select(*keys, partition_col).join(latest.select(*keys), keys, "left_semi").select(partition_col)
-    days = old_days.unionByName(latest.select(partition_col)).distinct()
-    # Partition values are few next to rows; the planner broadcasts them when they are, and prunes the scan by them.
-    return merge_by_key(target.join(days, [partition_col], "left_semi"), latest, keys)
