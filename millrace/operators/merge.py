@@ -21,9 +21,11 @@ def anti_join_existing(rows: DataFrame, existing: DataFrame | None, keys: Sequen
     fresh = keep_latest(rows, keys, [])
     if existing is None:
         return fresh
-    stored = existing.select(*keys).dropDuplicates()
+    # First which of the new keys are stored: that side of a semi join may be broadcast, so a long
+    # table is scanned for its key columns but not shuffled for the sake of a short batch.
+    known = existing.select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
     # A join on named keys moves them to the front; the table's column order is kept.
-    return fresh.join(stored, keys, "left_anti").select(*rows.columns)
+    return fresh.join(known, keys, "left_anti").select(*rows.columns)
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -185,16 +185,23 @@ def quality_events(mes: DataFrame, deviations: DataFrame) -> DataFrame:
 
 
 def stock_profiles(sap: DataFrame) -> DataFrame:
-    """Average order figures per product, plant and storage location."""
-    return sap.groupBy(
-        F.replace("material_code", F.lit("MAT"), F.lit("API")).alias("product_code"), "plant", "storage_location"
-    ).agg(
-        F.avg("planned_qty").alias("sap_planned"),
-        F.avg("actual_qty").alias("sap_actual"),
+    """Average order figures per product, plant and storage location; the smallest text stands for several.
+
+    Texts are grouping keys first, for the reason given at ``batch_events``.
+    """
+    keys = ["product_code", "plant", "storage_location"]
+    product = F.replace("material_code", F.lit("MAT"), F.lit("API")).alias("product_code")
+    figures = {"planned_qty": "sap_planned", "actual_qty": "sap_actual", "total_cost": "total_cost"}
+    sums = [F.sum(F.col(c).cast("double")).alias(f"_sum_{c}") for c in figures]
+    counts = [F.count(c).alias(f"_n_{c}") for c in figures]
+    combos = sap.groupBy(product, "plant", "storage_location", "uom", "cost_center", "currency").agg(
+        *sums, *counts, F.max("posting_date").alias("posting_date")
+    )
+    return combos.groupBy(*keys).agg(
+        *[ratio(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(name) for c, name in figures.items()],
         F.min("uom").alias("sap_uom"),
         F.max("posting_date").alias("posting_date"),
         F.min("cost_center").alias("cost_center"),
-        F.avg("total_cost").alias("total_cost"),
         F.min("currency").alias("currency"),
     )
 

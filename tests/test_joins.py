@@ -115,3 +115,12 @@ def test_nearest_match_without_candidates(spark):
     orders = spark.createDataFrame([(1, "A", dt.datetime(2024, 1, 1))], "n int, product string, ts timestamp")
     empty = spark.createDataFrame([], "product string, day date, cost string")
     assert nearest_dated(orders, empty, "product", "ts", "day", ["cost"]).first()["day"] is None
+
+
+def test_texts_do_not_force_a_sort_of_all_rows(spark):
+    from millrace.plans import silver
+
+    sap = spark.createDataFrame([], "material_code string, plant string, storage_location string, planned_qty int, actual_qty int, uom string, posting_date date, cost_center string, total_cost double, currency string")
+    plan = silver.stock_profiles(sap)._jdf.queryExecution().sparkPlan().toString()
+    lowest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+    assert "HashAggregate" in lowest

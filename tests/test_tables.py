@@ -95,13 +95,20 @@ def test_ensure_tables_leaves_filled_tables_alone(spark):
         tables.table_path(root, "platinum", "t")
 
 
-def test_a_busy_day_is_cut_into_several_partitions(spark, every_partition):
-    rows = spark.range(4000).select(
-        "id", F.when(F.col("id") < 3900, F.lit("2024-01-01 00:00:00")).otherwise("2024-01-02 00:00:00").cast("timestamp").alias("ts")
+def test_a_busy_day_is_cut_into_several_partitions(spark):
+    rows = spark.range(0, 40000, 1, 8).select(
+        "id", F.when(F.col("id") < 39000, F.lit("2024-01-01 00:00:00")).otherwise("2024-01-02 00:00:00").cast("timestamp").alias("ts")
     )
-    clustered = bronze.cluster_by_day(rows, "ts")
-    busy = clustered.where("ts < '2024-01-02'").groupBy(F.spark_partition_id()).count()
-    assert clustered.count() == 4000 and busy.count() > 1
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        clustered = bronze.cluster_by_day(rows, "ts")
+        assert clustered.columns == rows.columns and clustered.count() == 40000
+        path = scratch(spark, "clustered")
+        clustered.write.parquet(path)
+        busy = spark.read.parquet(path).where("ts < '2024-01-02'").select(F.col("_metadata.file_path")).distinct()
+        assert busy.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def test_shared_folder_comes_from_the_session(spark):
