@@ -298,7 +298,7 @@ PARTITION_MERGE = """(select event_id, machine_id, case when n % 10 = 3 then 'FI
           from b_mes_events) where n % 5 <> 0 or n % 10 = 0)"""
 
 
-def pipeline_metrics(spark, sf):
+def run_metrics(spark, sf):
     source = inputs.bronze_tables(spark, sf)
     silver_names = ("silver_mes_events", "silver_production_orders", "silver_quality_events")
     gold_names = ("gold_oee_dashboard", "gold_batch_summary", "gold_quality_kpis", "gold_production_efficiency")
@@ -306,7 +306,7 @@ def pipeline_metrics(spark, sf):
     silver, gold = ({n: built[n] for n in names} for names in (silver_names, gold_names))
     first = {n: source[n] for n in ("mes_events", "iqms_orders", "trackwise_deviations", "sap_ecc_orders", "sop_documents")}
     suites = {n: quality.run_suite(silver[n], SUITES[n]) for n in ("silver_mes_events", "silver_quality_events")}
-    return serving.pipeline_metrics({"bronze": first, "silver": silver, "gold": gold}, suites)
+    return serving.run_metrics({"bronze": first, "silver": silver, "gold": gold}, suites)
 
 
 def _counts(*names: str) -> str:
@@ -378,7 +378,7 @@ def register() -> None:
         "where event_type in ('error', 'click') and event_id % 2 = 0 group by event_type",
     )
     add("load_jsonl_latest", jsonl_latest, statement(JSONL))
-    add("pipeline_metrics", pipeline_metrics, statement(METRICS))
+    add("run_metrics", run_metrics, statement(METRICS))
     add("bronze_sap", bronze_sap, shown(SAP_SQL, SAP_COLUMNS))
     add(
         "anti_join_existing",

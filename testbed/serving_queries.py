@@ -145,7 +145,7 @@ def register() -> None:
     add(
         "serve_oee_score",
         lambda s, sf: present(serving.oee_score(_oee(s, sf), PLANT, inputs.OEE_AS_OF), "oee:6"),
-        shown(f"(select avg(oee_score) as oee from g_manufacturing_oee_mart where {RECENT})", "oee:6"),
+        shown(f"(select {mean2('oee_score', 10000)} as oee from g_manufacturing_oee_mart where {RECENT})", "oee:6"),
     )
     add(
         "serve_oee_trend",
@@ -153,8 +153,8 @@ def register() -> None:
             serving.oee_trend(_oee(s, sf), PLANT, inputs.OEE_AS_OF), "time:d availability:6 performance:6 quality_rate:6"
         ),
         shown(
-            "(select production_date as time, avg(availability) as availability, avg(performance) as performance, "
-            f"avg(quality_rate) as quality_rate from g_manufacturing_oee_mart where {RECENT} group by 1)",
+            f"(select production_date as time, {mean2('availability', 10000)} as availability, "
+            f"{mean2('performance', 10000)} as performance, {mean2('quality_rate', 10000)} as quality_rate from g_manufacturing_oee_mart where {RECENT} group by 1)",
             "time:d availability:6 performance:6 quality_rate:6",
         ),
     )
