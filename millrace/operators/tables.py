@@ -46,16 +46,25 @@ def has_rows(spark: SparkSession, path: str) -> bool:
 # --- plain tables ------------------------------------------------------------------------------------
 
 
-def write_layer_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Create or replace a table."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def _writer(df: DataFrame, mode: str, partition_by: Sequence[str], rebalance: bool):
+    """A writer whose tasks hold whole partitions, so a table does not get one file per task and partition.
+
+    The rebalance also cuts a partition that is too large for one task.
+    """
+    if partition_by and rebalance:
+        df = df.hint("rebalance", *partition_by)
+    writer = df.write.mode(mode)
+    return writer.partitionBy(*partition_by) if partition_by else writer
+
+
+def write_layer_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), rebalance: bool = True) -> None:
+    """Create or replace a table. Rows that are clustered already need no ``rebalance``."""
+    _writer(df, "overwrite", partition_by, rebalance).parquet(path)
 
 
-def append_layer_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def append_layer_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), rebalance: bool = True) -> None:
     """Append rows. Nothing is counted first: an empty append only adds an empty file."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    _writer(df, "append", partition_by, rebalance).parquet(path)
 
 
 def ensure_tables(spark: SparkSession, root: str, layer: str, schemas: Mapping[str, T.StructType]) -> list[str]:
@@ -86,7 +95,9 @@ def dual_land(df: DataFrame, demo_path: str, main_path: str) -> DataFrame:
     ).withColumn("rows_after", F.lit(spark.read.parquet(main_path).count()).cast("bigint"))
 
 
-def merge_into_days(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], day_col: str, latest_by: Sequence[str] = ()) -> None:
+def merge_into_days(
+    spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], day_col: str, latest_by: Sequence[str] = ()
+) -> None:
     """Insert-or-update into a table partitioned by ``day_col``, rewriting only the days concerned.
 
     A day is concerned when an update lies in it or when it holds the old version of an
@@ -98,27 +109,25 @@ def merge_into_days(spark: SparkSession, path: str, updates: DataFrame, keys: Se
     if not exists(spark, path):
         write_layer_table(latest, path, [day_col])
         return
-    target = spark.read.parquet(path).withColumn(day_col, F.col(day_col).cast(latest.schema[day_col].dataType))
-    old_days = target.select(*keys, day_col).join(latest.select(*keys), keys, "left_semi").select(day_col)
-    days = old_days.unionByName(latest.select(day_col)).distinct()
-    merged = merge_by_key(target.join(days, [day_col], "left_semi"), latest, keys)
-    # One row per concerned day; needed after the write to drop days that lost their last row.
-    concerned = [row[0] for row in days.collect()]
-    (
-        merged.select(*latest.columns)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day_col)
-        .parquet(path)
-    )
-    filled = {row[0] for row in latest.select(day_col).distinct().collect()}
-    for day in concerned:
-        if day in filled:
-            continue
-        left = spark.read.parquet(path).where(F.col(day_col) == F.lit(day))
-        if left.join(latest.select(*keys), keys, "left_anti").isEmpty():
-            fs, p = _path(spark, f"{path}/{day_col}={day}")
-            fs.delete(p, True)
+    latest = latest.persist()
+    try:
+        new_keys, new_days = latest.select(*keys), latest.select(day_col).distinct()
+        target = spark.read.parquet(path).withColumn(day_col, F.col(day_col).cast(latest.schema[day_col].dataType))
+        # Calendar days, so both lists are short; as literals they prune the partitions that are read.
+        filled = {row[0] for row in new_days.collect()}
+        left = {row[0] for row in target.join(new_keys, keys, "left_semi").select(day_col).distinct().collect()} - filled
+        concerned = target.where(F.col(day_col).isin(list(filled | left)))
+        merged = merge_by_key(concerned, latest, keys)
+        writer = _writer(merged.select(*latest.columns), "overwrite", [day_col], True)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+        if left:
+            # A day whose rows all moved away got no new files; its old ones hold replaced keys only.
+            still = spark.read.parquet(path).where(F.col(day_col).isin(list(left))).join(new_keys, keys, "left_anti")
+            for day in left - {row[0] for row in still.select(day_col).distinct().collect()}:
+                fs, p = _path(spark, f"{path}/{day_col}={day}")
+                fs.delete(p, True)
+    finally:
+        latest.unpersist()
 
 
 # --- versioned tables --------------------------------------------------------------------------------

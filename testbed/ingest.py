@@ -116,7 +116,7 @@ def write_layer_table(spark, sf):
     path = tables.table_path(scratch(spark, "lake"), "bronze", "mes_events")
     rows = mes_bronze(spark, sf).withColumn("event_date", F.to_date("event_ts"))
     for _ in range(2):  # the second write replaces the first
-        tables.write_layer_table(bronze.cluster_by_day(rows, "event_ts"), path, ["event_date"])
+        tables.write_layer_table(bronze.cluster_by_day(rows, "event_ts"), path, ["event_date"], rebalance=False)
     return present(spark.read.parquet(path), COLUMNS["bronze_mes_events"] + " event_date:d")
 
 

@@ -114,3 +114,10 @@ def test_a_busy_day_is_cut_into_several_partitions(spark):
 def test_shared_folder_comes_from_the_session(spark):
     assert scratch(spark, "x").startswith(shared_root(spark))
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+def test_partitioned_writes_make_few_files(spark):
+    path = scratch(spark, "few")
+    days = spark.range(0, 8000, 1, 8).withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 10).cast("int")))
+    tables.write_layer_table(days, path, ["d"])
+    assert tables.storage_files(spark, {"t": path}).count() == 10
