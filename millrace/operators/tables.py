@@ -39,10 +39,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def has_rows(spark: SparkSession, path: str) -> bool:
-    return exists(spark, path) and not spark.read.parquet(path).isEmpty()
-
-
 # --- plain tables ------------------------------------------------------------------------------------
 
 

@@ -27,8 +27,6 @@ def as_text(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
 
 
-STAMP = "_source string, _ingested_at timestamp, _nifi_flow string"
-
 # Column names and types of the batch tables.
 MES_EVENTS = _struct(
     "event_id string, machine_id string, batch_id string, product_code string, parameter_name string, "

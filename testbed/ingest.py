@@ -167,7 +167,7 @@ def changed_files(spark, sf):
     events.write.partitionBy("event_type").parquet(path)
     manifest = scratch(spark, "manifest")
     files.file_listing(spark, path, "*.parquet").write.parquet(manifest)
-    events.where("event_type in ('error', 'click') and event_id % 2 = 0").write.mode("append").partitionBy("event_type").parquet(path)
+    events.where("event_type in ('error', 'click')").write.mode("append").partitionBy("event_type").parquet(path)
     changed = files.changed_files(files.file_listing(spark, path, "*.parquet"), files.load_manifest(spark, manifest))
     # One path per changed file goes to the reader.
     paths = [row["path"] for row in changed.select("path").collect()]
@@ -281,7 +281,7 @@ def partition_merge(spark, sf):
     number = F.regexp_extract("event_id", "([0-9]+)$", 1).cast("bigint")
     dated = rows.withColumn("event_date", F.to_date("event_ts"))
     tables.merge_into_days(spark, path, dated.where(number % 5 != 0), ["event_id"], "event_date", ["event_ts"])
-    moved = rows.where(number % 10 == 0).withColumn("event_ts", F.col("event_ts") + F.expr("interval 1 day"))
+    moved = rows.where(number % 5 == 0).withColumn("event_ts", F.col("event_ts") + F.expr("interval 1 day"))
     fixed = rows.where(number % 10 == 3).withColumn("status", F.lit("FIXED"))
     later = rows.where(number % 10 == 7).withColumn("event_ts", F.col("event_ts") + F.expr("interval 3 day"))
     updates = moved.unionByName(fixed).unionByName(later).withColumn("event_date", F.to_date("event_ts"))
@@ -293,9 +293,9 @@ def partition_merge(spark, sf):
 PARTITION_MERGE = """(select event_id, machine_id, case when n % 10 = 3 then 'FIXED' else status end as status, moved as event_ts,
     moved::date as event_date
     from (select *, regexp_extract(event_id, '([0-9]+)$', 1)::bigint as n,
-                 event_ts + (case regexp_extract(event_id, '([0-9]+)$', 1)::bigint % 10 when 0 then 1 when 7 then 3 else 0 end)
+                 event_ts + (case regexp_extract(event_id, '([0-9]+)$', 1)::bigint % 10 when 0 then 1 when 5 then 1 when 7 then 3 else 0 end)
                             * interval 1 day as moved
-          from b_mes_events) where n % 5 <> 0 or n % 10 = 0)"""
+          from b_mes_events))"""
 
 
 def run_metrics(spark, sf):
@@ -375,7 +375,7 @@ def register() -> None:
         "changed_files",
         changed_files,
         "select event_type, count(*) as rows, max(event_id) as last_event from events "
-        "where event_type in ('error', 'click') and event_id % 2 = 0 group by event_type",
+        "where event_type in ('error', 'click') group by event_type",
     )
     add("load_jsonl_latest", jsonl_latest, statement(JSONL))
     add("run_metrics", run_metrics, statement(METRICS))

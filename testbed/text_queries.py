@@ -103,22 +103,23 @@ REBUILT = (
 
 
 def topk(spark, sf, **options):
+    """Every vector as a query against all vectors."""
     vectors = inputs.table(spark, sf, "embeddings")
-    return vector_topk(vectors.where("vec_id % 50 = 0"), vectors.where("vec_id % 50 <> 0"), **options)
+    return vector_topk(vectors, inputs.spread(vectors), **options)
 
 
 def _topk_sql(k: int, where: str = "true", measure: str = "list_cosine_similarity") -> str:
     return f"""(select q.vec_id as query_id, row_number() over (partition by q.vec_id order by
             round({measure}(q.embedding::double[], c.embedding::double[]), 12) desc, c.vec_id) as rank,
             c.vec_id as hit_id, {measure}(q.embedding::double[], c.embedding::double[]) as score
-        from embeddings q join embeddings c on q.vec_id % 50 = 0 and c.vec_id % 50 <> 0 and {where} qualify rank <= {k})"""
+        from embeddings q join embeddings c on {where} qualify rank <= {k})"""
 
 
 def hits(spark, sf):
     """Retrieved texts; every hit is delivered a second time behind the others."""
     found = topk(spark, sf)
     docs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("hit_id"), "source", "text")
-    joined = docs.join(F.broadcast(found), "hit_id").select(
+    joined = docs.join(found, "hit_id").select(
         "query_id", "rank", "source", (F.col("hit_id") % 2).alias("chunk_index"), "text", F.lit("plain_text").alias("extraction_method")
     )
     return joined.unionByName(joined.withColumn("rank", F.col("rank") + 4))
@@ -169,7 +170,7 @@ def register() -> None:
     )
     add(
         "vector_topk_blocks",
-        lambda s, sf: present(topk(s, sf, k=10, metric="dot", block_values=200), ranked),
+        lambda s, sf: present(topk(s, sf, k=10, metric="dot", block_values=8000), ranked),
         shown(_topk_sql(10, measure="list_inner_product"), ranked),
     )
     sources = "query_id ref:n source excerpt chunk_index:n extraction_method"
