@@ -321,7 +321,7 @@ def test_pipeline_publishes_gold_only_behind_the_gate(spark):
     assert not closed.passed and not any(n.startswith("gold") for n in closed.published)
     kept = scratch(spark, "results")
     opened = run_pipeline(spark, root, small_bronze(spark), AS_OF, T(2024, 2, 2), {}, results_path=kept)
-    assert spark.read.json(f"{kept}/silver/silver_mes_events").where("success").count() == 4
+    assert spark.read.json(f"{kept}/at=20240202T000000/silver/silver_mes_events").where("success").count() == 4
     assert opened.passed and len(opened.published) == 18
     assert tables.read_as_of(spark, root, "gold", "gold_batch_summary").first()["batch_status"] == "UNDER_REVIEW"
 
