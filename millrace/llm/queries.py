@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.language_id import predict_languages
+from millrace.llm.quality import score_quality
 from millrace.llm.url_filter import judge_urls
 
+SENTENCEPIECE = "/opt/tokenizers/piece_bpe_32k.model"
+
 # The rules of the task.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -49,8 +53,19 @@ ranked AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE rank = 1
 """
 
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents"), SENTENCEPIECE)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_url_filter": OP4_SQL}
