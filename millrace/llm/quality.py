@@ -64,8 +64,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return buckets, counts.astype(float)
 
 
-def train(sample: list[tuple[str, int]], size: int = 8, epochs: int = 5, rate: float = 0.5, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Log odds of each bucket and the constant; labels weigh alike whatever their numbers in the sample."""
+def train(sample: list[tuple[str, int]], size: int = 8, updates: int = 400, rate: float = 0.5, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Log odds of each bucket and the constant; labels weigh alike whatever their numbers in the sample.
+
+    The rows are passed over until about ``updates`` batches were seen, so a small sample is learned as well as a large one.
+    """
     rng = np.random.default_rng(seed)
     if len({y for _, y in sample}) < 2:
         return np.zeros(BUCKETS + 1, np.float32), 0.0
@@ -74,7 +77,8 @@ def train(sample: list[tuple[str, int]], size: int = 8, epochs: int = 5, rate: f
     layer, bias = np.zeros((size, 2)), np.zeros(2)
     ones = sum(y for *_, y in rows)
     weight = {1.0: len(rows) / max(1, 2 * ones), 0.0: len(rows) / max(1, 2 * (len(rows) - ones))}
-    steps, total = 0, epochs * -(-len(rows) // batch)
+    steps, epochs = 0, max(1, round(updates * batch / max(1, len(rows))))
+    total = epochs * -(-len(rows) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for start in range(0, len(order), batch):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.language_id import predict_languages
 from millrace.llm.quality import score_quality
+from millrace.llm.simhash import near_groups
 from millrace.llm.url_filter import judge_urls
 
 SENTENCEPIECE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -58,6 +59,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_table(spark, sf_dir, "documents"), SENTENCEPIECE)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op8_simhash": op8_simhash,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_url_filter": OP4_SQL}
