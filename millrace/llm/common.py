@@ -46,22 +46,20 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, object]]:
-    """Whole texts and labels of at most ``max_rows`` rows and about ``max_chars`` characters of each label.
+def bounded_sample(docs: DataFrame, marks: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, object]]:
+    """Whole texts and labels of at most ``max_rows`` rows and ``max_chars`` characters of each label.
 
-    ``rows`` holds doc_id, text and ``label``; rows without text or label are left out.
-    Rows are taken in the order of a hash of their id, so the choice depends on neither
-    partitions nor size. A text that would pass the character bound is left out whole.
-    The result goes to the driver: labels x ``max_chars`` bounds it.
+    ``marks`` holds doc_id and ``label``, ``docs`` doc_id and text; rows without text or label are left out. Ids are
+    picked from ``marks`` alone, in the order of their hash, so the choice depends on neither partitions nor size, and
+    only picked texts move. Texts beyond the character bound are left out whole. labels x ``max_chars`` bounds what
+    the driver gets.
     """
-    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
-    known = rows.where(F.col("text").isNotNull() & F.col(label).isNotNull())
-    picked = (
-        known.select("doc_id", label, F.xxhash64("text").alias("_mark"), F.length("text").alias("_chars"))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id", "_mark")))
-        .where(F.col("_rank") <= max_rows)
-    )
-    running = F.sum("_chars").over(Window.partitionBy(label).orderBy("_rank"))
-    ids = picked.withColumn("_sum", running).where(F.col("_sum") <= max_chars).select("doc_id", F.col("_mark"))
-    texts = known.withColumn("_mark", F.xxhash64("text")).join(F.broadcast(ids.distinct()), ["doc_id", "_mark"], "left_semi")
-    return [(r[0], r[1]) for r in texts.orderBy(*order).select("text", label).collect()]
+    known = marks.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
+    by_id = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.withColumn("_rank", F.row_number().over(by_id)).where(F.col("_rank") <= max_rows).drop("_rank")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id")
+    by_text = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    rows = texts.withColumn("_rank", F.row_number().over(by_text)).where(F.col("_rank") <= max_rows)
+    rows = rows.withColumn("_sum", F.sum(F.length("text")).over(Window.partitionBy(label).orderBy("_rank")))
+    rows = rows.where(F.col("_sum") <= max_chars).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), label)
+    return [(r[0], r[1]) for r in rows.select("text", label).collect()]

@@ -227,9 +227,9 @@ def fit(docs: DataFrame, vocabulary: str, max_rows: int = 300, max_chars: int =
 
     Of each language at most ``max_rows`` rows and ``max_chars`` characters are used, chosen by a hash of the id.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     pieces = read_pieces(vocabulary)
-    return pieces, *train(bounded_sample(known, "lang", max_rows, max_chars), pieces)
+    return pieces, *train(bounded_sample(docs, known, "lang", max_rows, max_chars), pieces)
 
 
 def predict_languages(docs: DataFrame, vocabulary: str, **bounds: int) -> DataFrame:

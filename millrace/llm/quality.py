@@ -141,10 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, max_chars: int
     other than 0 and 1, and rows without text, teach nothing. Without rows of both labels every text scores the prior.
     """
     marks = labels.where("quality in (0, 1)").select("doc_id", "quality").distinct()
-    known = docs.select("doc_id", "text").where(~held_out()).join(marks, "doc_id")
-    numbers = {r[0]: r[1] for r in marks.where(~held_out()).groupBy("quality").count().collect()}
+    marks = marks.where(~held_out())
+    numbers = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
     prior = float(np.log((numbers.get(1, 0) + 1) / (numbers.get(0, 0) + 1)))
-    return *train(bounded_sample(known, "quality", max_rows, max_chars)), prior
+    return *train(bounded_sample(docs, marks, "quality", max_rows, max_chars)), prior
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds: int) -> DataFrame:
