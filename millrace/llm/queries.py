@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.language_id import predict_languages
 from millrace.llm.quality import score_quality
+from millrace.llm.sentencepiece_codec import round_trip
 from millrace.llm.simhash import near_groups
 from millrace.llm.url_filter import judge_urls
 
@@ -34,6 +35,10 @@ WINDOW same AS (PARTITION BY body)
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), SENTENCEPIECE)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, action string"))
 
@@ -69,6 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op8_simhash": op8_simhash,
