@@ -11,6 +11,7 @@ from millrace.llm.language_id import predict_languages
 from millrace.llm.quality import score_quality
 from millrace.llm.sentencepiece_codec import round_trip
 from millrace.llm.simhash import near_groups
+from millrace.llm.substring_dedup import passage_digests
 from millrace.llm.url_filter import judge_urls
 
 SENTENCEPIECE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -68,6 +69,32 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digests(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words WHERE len(w) >= 13)),
+firsts AS (SELECT phrase, min(doc_id) AS least FROM windows GROUP BY phrase),
+gone AS (
+  SELECT doc_id, list(p) AS starts FROM windows JOIN firsts USING (phrase) WHERE least < doc_id GROUP BY doc_id),
+positions AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM (SELECT doc_id, unnest(starts) AS s FROM gone)),
+kept AS (
+  SELECT each.doc_id, list(each.word ORDER BY each.p) AS k
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words) AS each
+  ANTI JOIN positions ON each.doc_id = positions.doc_id AND each.p = positions.p
+  GROUP BY each.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(len(k), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -78,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op8_simhash": op8_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_url_filter": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_substring_dedup": OP9_SQL}
