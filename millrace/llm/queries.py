@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.decontaminate import leaks_by_document
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.language_id import predict_languages
+from millrace.llm.pii import find_personal_data
 from millrace.llm.quality import score_quality
 from millrace.llm.sentencepiece_codec import round_trip
 from millrace.llm.simhash import near_groups
@@ -24,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_table(spark, sf_dir, "documents"), SENTENCEPIECE)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks_by_document(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -100,10 +110,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
