@@ -5,11 +5,12 @@
 2. Candidates. Seeds that occur in two documents are found by a combined aggregate and joined back to their documents.
    Only windows with such a seed go on.
 3. Confirmation. Candidate windows are grouped by their 64-bit hash; those of two documents are recurring passages.
-4. Automata. Each task receives documents together with the recurring passages an earlier document has, compiles the
-   passages of a shard of documents into an Aho-Corasick automaton over words, and streams the shard's documents through
-   it. The automaton compares words, and finds every occurrence, also repeated and overlapping ones.
+4. Automata. Each task receives documents together with the windows that an earlier document has. Runs of such windows
+   are recurring passages; those of a shard of documents are compiled into an Aho-Corasick automaton over words, and the
+   shard's documents are streamed through it, which finds every occurrence, also repeated and overlapping ones.
 
-A shard holds ``PHRASES`` passages at most, unless one document alone has more, so automata stay small at any size.
+Passages are shipped only to the documents that hold them, so the work grows with the input and not with its square, and
+a shard holds ``PASSAGE_WORDS`` words at most, so automata stay small at any size.
 """
 
 from __future__ import annotations
@@ -19,27 +20,51 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import written
-from millrace.llm.words import WordStore
 
 WINDOW, GRAM = 13, 5
-PHRASES = 20_000
-STORE = 300_000  # words that a worker remembers
+PASSAGE_WORDS = 200_000  # words of the passages of one automaton, unless one document alone has more
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1  # stands for a missing doc_id: later than any other
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs without ASCII white space, in UTF-8."""
-    return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+class WordHashes:
+    """64-bit hashes of all words of many texts, by array operations over their bytes.
 
+    A word's hash is a polynomial of its bytes modulo 2**64, taken from running sums and divided by the power of its start.
+    """
 
-def word_store() -> WordStore:
-    return WordStore(lambda words: np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[:, None], STORE)
+    def __init__(self) -> None:
+        self.space = np.zeros(256, bool)
+        self.space[list(b" \t\n\v\f\r")] = True
+        self.powers, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        for name, base in (("powers", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
+            out = np.full(size, base, np.uint64)
+            out[0] = 1
+            setattr(self, name, np.multiply.accumulate(out))
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = b" ".join(texts)
+        if len(raw) >= len(self.powers):
+            self._grow(max(2 * len(raw), 1 << 16))
+        codes = np.frombuffer(raw, np.uint8)
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = ~self.space[codes]
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=total[1:])
+        marks = (total[ends] - total[starts]) * self.inverse[starts]
+        marks ^= marks >> np.uint64(32)
+        marks *= np.uint64(0xD6E8FEB86659FD93)
+        marks ^= marks >> np.uint64(29)
+        limits = np.cumsum([len(t) + 1 for t in texts])
+        return np.split(marks, np.searchsorted(starts, limits[:-1]))
 
 
 def rolling(marks: np.ndarray, size: int) -> np.ndarray:
@@ -57,21 +82,17 @@ def seeds_of(marks: np.ndarray, window: int, gram: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).min(axis=1)
 
 
-def _marked(batch: pd.DataFrame, store: WordStore, most: int = 1_000_000) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(row, words, their hashes) of each text, looked up for many texts at once."""
-    texts = [words_of(t) for t in batch["text"]]
-    start = 0
-    while start < len(texts):
-        end, n = start, 0
-        while end < len(texts) and (n == 0 or n + len(texts[end]) <= most):
-            n += len(texts[end])
-            end += 1
-        marks = store.rows([w for words in texts[start:end] for w in words])[:, 0] if n else np.zeros(0, np.uint64)
-        at = 0
-        for i in range(start, end):
-            yield i, texts[i], marks[at : at + len(texts[i])]
-            at += len(texts[i])
-        start = end
+def _marked(batch: pd.DataFrame, hashes: WordHashes, most: int = 500_000) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(row, text in UTF-8, its words' hashes), hashed for many texts at once."""
+    part: list[bytes] = []
+    first = size = 0
+    for i, text in enumerate(batch["text"]):
+        part.append(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"")
+        size += len(part[-1])
+        if size >= most or i + 1 == len(batch):
+            for j, marks in enumerate(hashes(part)):
+                yield first + j, part[j], marks
+            part, first, size = [], i + 1, 0
 
 
 def _pairs(found: list[tuple[int, np.ndarray]], name: str) -> pd.DataFrame:
@@ -81,11 +102,17 @@ def _pairs(found: list[tuple[int, np.ndarray]], name: str) -> pd.DataFrame:
     return pd.DataFrame({name: np.concatenate([x for _, x in found]).view(np.int64), "d": ids})
 
 
-def covered(words: list[bytes], automaton: ahocorasick.Automaton, ids: dict[bytes, int], least: int, size: int) -> np.ndarray:
-    """Which words lie in an occurrence of a phrase that belongs to a document before ``least``."""
-    edge = np.zeros(len(words) + 1, np.int64)
-    for end, first in automaton.iter(tuple(ids.get(w, 0) for w in words)):
-        if first < least:
+def runs(hits: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each run of consecutive positions."""
+    cuts = np.flatnonzero(np.diff(hits) > 1)
+    return list(zip(hits[np.r_[0, cuts + 1]].tolist(), hits[np.r_[cuts, len(hits) - 1]].tolist(), strict=True))
+
+
+def covered(ids: tuple[int, ...], automaton: ahocorasick.Automaton, own: int) -> np.ndarray:
+    """Which words lie in an occurrence of a passage whose windows all start in documents before ``own``."""
+    edge = np.zeros(len(ids) + 1, np.int64)
+    for end, (first, size) in automaton.iter(ids):
+        if first < own:
             edge[end - size + 1] += 1
             edge[end + 1] -= 1
     return np.cumsum(edge[:-1]) > 0
@@ -101,11 +128,11 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"))
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = word_store()
+        store = WordHashes()
         for batch in batches:
             ids, found = batch["d"].to_numpy(), []
-            for i, words, marks in _marked(batch, store):
-                if len(words) >= window:
+            for i, _, marks in _marked(batch, store):
+                if len(marks) >= window:
                     found.append((ids[i], np.unique(seeds_of(marks, window, gram))))
             yield _pairs(found, "seed")
 
@@ -115,11 +142,11 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     of_doc = written(of_doc, "passages-of-documents")
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = word_store()
+        store = WordHashes()
         for batch in batches:
             ids, known, found = batch["d"].to_numpy(), batch["seeds"].tolist(), []
-            for i, words, marks in _marked(batch, store):
-                if len(words) >= window:
+            for i, _, marks in _marked(batch, store):
+                if len(marks) >= window:
                     hit = np.isin(seeds_of(marks, window, gram), np.asarray(known[i], np.int64).view(np.uint64))
                     found.append((ids[i], np.unique(rolling(marks, window)[hit])))
             yield _pairs(found, "passage")
@@ -132,40 +159,48 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     earlier = written(earlier.select("d", "passages.passage", "passages.least"), "passages-earlier")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = word_store()
+        store = WordHashes()
 
-        def shard(rows: list[tuple[int, list[bytes], dict]], own: np.ndarray) -> Iterator[tuple[int, tuple[str, int, int]]]:
-            ids: dict[bytes, int] = {}
+        def shard(rows: list[tuple[int, bytes, list[tuple[int, int, int]]]], own: np.ndarray) -> Iterator[tuple[int, tuple[str, int, int]]]:
+            names: dict[bytes, int] = {}
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for phrase, first in {p: x for *_, phrases in rows for p, x in phrases.items()}.items():
-                automaton.add_word(tuple(ids.setdefault(w, len(ids) + 1) for w in phrase), first)
-            if ids:
+            texts = []
+            for _, raw, passages in rows:
+                words = raw.split()
+                ids = tuple(names.setdefault(w, len(names)) for w in words) if passages else ()
+                for start, end, first in passages:
+                    phrase = ids[start:end]
+                    if first < automaton.get(phrase, (_LAST + 1, 0))[0]:
+                        automaton.add_word(phrase, (first, end - start))
+                texts.append((words, ids))
+            if len(automaton):
                 automaton.make_automaton()
-            for i, words, phrases in rows:
+            for (i, _, passages), (words, ids) in zip(rows, texts, strict=True):
                 left = words
-                if phrases:
-                    gone = covered(words, automaton, ids, own[i], window)
+                if passages:
+                    gone = covered(ids, automaton, own[i])
                     left = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                 yield i, (b" ".join(left).decode("utf-8", "surrogatepass"), len(words), len(words) - len(left))
 
         for batch in batches:
             own, marked, least = batch["d"].to_numpy(), batch["passage"].tolist(), batch["least"].tolist()
             kept: dict[int, tuple[str, int, int]] = {}
-            waiting: list[tuple[int, list[bytes], dict[tuple[bytes, ...], int]]] = []
+            waiting: list[tuple[int, bytes, list[tuple[int, int, int]]]] = []
             n = 0
-            for i, words, marks in _marked(batch, store):
-                phrases: dict[tuple[bytes, ...], int] = {}
-                if marked[i] is not None and len(words) >= window:
+            for i, raw, marks in _marked(batch, store):
+                passages: list[tuple[int, int, int]] = []
+                if marked[i] is not None and len(marks) >= window:
+                    known = np.asarray(marked[i], np.int64)
+                    order = np.argsort(known)
                     hashes = rolling(marks, window).view(np.int64)
-                    passages = np.asarray(marked[i], np.int64)
-                    order = np.argsort(passages)
-                    place = np.minimum(np.searchsorted(passages[order], hashes), len(passages) - 1)
+                    place = np.minimum(np.searchsorted(known[order], hashes), len(known) - 1)
+                    hits = np.flatnonzero(known[order][place] == hashes)
                     firsts = np.asarray(least[i], np.int64)[order][place]
-                    hits = np.flatnonzero(passages[order][place] == hashes)
-                    phrases = {tuple(words[p : p + window]): int(firsts[p]) for p in hits.tolist()}
-                waiting.append((i, words, phrases))
-                n += len(phrases)
-                if n >= PHRASES:
+                    if len(hits):
+                        passages = [(p, q + window, int(firsts[p : q + 1].max())) for p, q in runs(hits)]
+                waiting.append((i, raw, passages))
+                n += sum(q - p for p, q, _ in passages)
+                if n >= PASSAGE_WORDS or len(waiting) >= 500:
                     kept.update(shard(waiting, own))
                     waiting, n = [], 0
             kept.update(shard(waiting, own))
