@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import secrets
 from millrace.llm.decontaminate import leaks_by_document
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.language_id import predict_languages
@@ -71,6 +72,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(_table(spark, sf_dir, "documents"), SENTENCEPIECE)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.fit(docs))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks_by_document(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
