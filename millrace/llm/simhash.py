@@ -197,9 +197,3 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 3) -
     out = marked.join(named, "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def drop_near_copies(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 3) -> DataFrame:
-    """``docs``, all its columns, with one document of each component: that of the smallest doc_id. Null doc_ids stay."""
-    groups = near_groups(docs.select("doc_id", "text"), threshold, shingle)
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
