@@ -1,21 +1,23 @@
 """Benchmark decontamination on templates.
 
 Numbers, names and units become typed placeholders, so a question with other values keeps its template. Windows of
-template words are hashed; the benchmark's windows are joined to the documents' by hash. Windows of one document and one
-item that lie on the same offset form a match. A match counts if enough words are covered and the values in the
+template words are hashed; the benchmark's windows are joined to the documents' by hash. A document and an item that share
+a window are laid side by side at its offset. They match if enough template words in a row are equal and the values in the
 placeholders correspond one to one: the same value of the item always meets the same value in the document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import whole_text, written
 
 WINDOW = 8  # words of a window
-LEAST = 13  # words that a match covers at least; shorter items must be covered whole
-LITERAL = 4  # words of a benchmark window that are no placeholders, at least
+LEAST = 13  # equal words in a row that make a match; shorter items must be covered whole
+LITERAL = 4  # words of a match that are no placeholders, at least
 BROADCAST_ROWS = 1_000_000  # benchmark windows (about 40 MB) that are sent to every executor; more are joined by shuffle
 
 # Units that may follow a number.
@@ -41,62 +43,88 @@ def template_of(words: Column) -> Column:
     return F.lower(F.translate(out, "^", ""))
 
 
-def _windows(words: Column, window: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _hits(rows: DataFrame, items: DataFrame, window: int, least: int) -> DataFrame:
-    """Matches by window hashes: row, item, offset, first and last window."""
-    of_item = items.where(F.size("template") >= window).select(
-        "item", F.size("template").alias("item_words"), "template", F.posexplode(_windows(F.col("template"), window)).alias("at", "hash")
-    )
-    plain = F.filter(F.slice("template", F.col("at") + 1, window), lambda w: ~w.isin("<num>", "<unit>", "<name>"))
-    of_item = written(of_item.where(F.size(plain) >= LITERAL).select("hash", "item", "item_words", "at"), "leaks-windows")
-    of_doc = rows.where(F.size("template") >= window).select(
-        "row", F.posexplode(_windows(F.col("template"), window)).alias("place", "hash")
-    )
+def _windows(words: Column, window: int, step: int) -> Column:
+    """(at, hash) of every ``step``-th window; at counts from 0."""
+    empty = F.array().cast("array<struct<at:int,hash:bigint>>")
+    return F.when(
+        F.size(words) >= window,
+        F.transform(
+            F.sequence(F.lit(1), F.size(words) - (window - 1), F.lit(step)),
+            lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(words, i, window)).alias("hash")),
+        ),
+    ).otherwise(empty)
+
+
+def _is_slot(word: Column) -> Column:
+    return word.isin("<num>", "<unit>", "<name>")
+
+
+def _hits(docs: DataFrame, items: DataFrame, window: int, least: int) -> DataFrame:
+    """row, item and offset of every document and item that share a window there.
+
+    A match covers ``least`` words in a row, so it holds ``least - window + 1`` windows in a row; documents therefore
+    only need every so manyth window, while items have all of theirs. Shorter items shorten that step.
+    """
+    shortest = items.where(F.size("template") >= window).agg(F.min(F.size("template"))).first()[0]
+    step = min(least, shortest or least) - window + 1
+    of_item = items.select("item", "template", F.explode(_windows(F.col("template"), window, 1)).alias("w"))
+    literal = F.exists(F.slice("template", F.col("w.at") + 1, window), lambda x: ~_is_slot(x))
+    of_item = written(of_item.where(literal).select("item", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")), "leaks-windows")
+    found = _let(F.split(template_of(raw_words(whole_text())), " "), lambda t: _windows(t, window, step))
+    of_doc = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.explode(found).alias("w")).select("row", "w.at", "w.hash")
     side = F.broadcast(of_item) if of_item.count() <= BROADCAST_ROWS else of_item
-    met = of_doc.join(side, "hash").groupBy("row", "item", (F.col("place") - F.col("at")).alias("offset"))
-    found = met.agg(
-        F.countDistinct("at").alias("windows"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("item_words").alias("item_words")
-    )
-    return found.where(F.col("windows") >= F.least(F.lit(least), F.col("item_words")) - (window - 1))
+    met = of_doc.withColumnRenamed("at", "place").join(side, "hash")
+    return met.select("row", "item", (F.col("place") - F.col("at")).alias("offset")).distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """Matches: row (hash of doc_id and text), doc_id, item_id, words covered, and whether the values correspond.
+    """Matches: row (hash of doc_id and text), item_id, words (longest run in common) and whether the values correspond.
 
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text. Null texts count as empty. Items with fewer than
-    ``window`` words have no window and match nothing. Repeated rows of either table give the same matches once.
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text. Null texts count as empty. A match is a run of ``least``
+    equal template words, or all of a shorter item, with ``LITERAL`` words that are no placeholders. Items with fewer than
+    ``window`` words match nothing, and neither do ``window`` placeholders in a row. Repeated rows of either table give
+    the same matches once.
     """
-    key = F.xxhash64("doc_id", "text").alias("row")
-    words = docs.select(key, "doc_id", raw_words(whole_text()).alias("words"))
-    rows = words.select("row", F.split(template_of(F.col("words")), " ").alias("template"))
     items = benchmark.select(F.col("item_id").alias("item"), raw_words(whole_text()).alias("words")).distinct()
-    items = items.select("item", F.split("words", " ").alias("item_raw"), F.split(template_of(F.col("words")), " ").alias("template"))
-    hits = written(_hits(rows, items, window, least), "leaks-hits")
-    both = words.distinct().join(hits, "row").join(items.withColumnRenamed("template", "item_template"), "item")
-    both = both.withColumn("raw", F.split("words", " ")).withColumn("template", F.split(template_of(F.col("words")), " "))
-    span = F.sequence(F.col("first") + 1, F.col("last") + window)
+    items = items.select("item", F.split("words", " ").alias("mine"), F.split(template_of(F.col("words")), " ").alias("template"))
+    items = written(items, "leaks-items")
+    hits = written(_hits(docs, items, window, least), "leaks-hits")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), whole_text().alias("text"))
+    met = texts.join(hits.select("row").distinct(), "row", "left_semi").select("row", raw_words(F.col("text")).alias("words")).distinct()
+    met = written(met.select("row", F.split("words", " ").alias("theirs"), F.split(template_of(F.col("words")), " ").alias("other")), "leaks-met")
+    both = met.join(hits, "row").join(items, "item")
     pairs = F.transform(
-        span,
-        lambda i: F.struct(
-            F.get("item_template", i - 1).alias("kind"),
-            F.get("template", i - 1 + F.col("offset")).alias("other"),
-            F.get("item_raw", i - 1).alias("mine"),
-            F.get("raw", i - 1 + F.col("offset")).alias("theirs"),
+        "template",
+        lambda kind, i: F.struct(
+            kind.alias("kind"),
+            (kind == F.get("other", i + F.col("offset"))).alias("same"),
+            F.get("mine", i).alias("mine"),
+            F.get("theirs", i + F.col("offset")).alias("theirs"),
         ),
     )
-    slots = F.filter(pairs, lambda x: (x["kind"] == x["other"]) & x["kind"].isin("<num>", "<unit>", "<name>"))
-    same = F.size(F.filter(pairs, lambda x: x["kind"] == x["other"]))
-    both = both.withColumn("slots", F.array_distinct(slots)).withColumn("covered", same)
-    mine = F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["mine"])))
-    theirs = F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["theirs"])))
-    matches = (F.size(mine) == F.size("slots")) & (F.size(theirs) == F.size("slots"))
-    enough = F.col("covered") >= F.least(F.lit(least), F.col("item_words"))
-    return both.where(enough).select(
-        "row", "doc_id", F.col("item").alias("item_id"), F.col("covered").alias("words"), matches.alias("consistent")
+    both = written(both.select("row", "item", F.size("template").alias("size"), pairs.alias("pairs")), "leaks-pairs")
+    run = F.aggregate(
+        "pairs",
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, x: _let(
+            F.when(x["same"], acc["now"] + 1).otherwise(0), lambda n: F.struct(n.alias("now"), F.greatest(acc["most"], n).alias("most"))
+        ),
+        lambda acc: acc["most"],
     )
+    same = F.filter("pairs", lambda x: F.coalesce(x["same"], F.lit(False)))
+    slots = F.array_distinct(F.filter(same, lambda x: _is_slot(x["kind"])))
+    mine = F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x["mine"])))
+    theirs = F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x["theirs"])))
+    matches = (F.size(mine) == F.size(slots)) & (F.size(theirs) == F.size(slots))
+    literal = F.size(F.filter(same, lambda x: ~_is_slot(x["kind"])))
+    both = both.select("row", F.col("item").alias("item_id"), "size", run.alias("words"), literal.alias("literal"), matches.alias("consistent"))
+    enough = (F.col("words") >= F.least(F.lit(least), F.col("size"))) & (F.col("literal") >= LITERAL)
+    return both.where(enough).select("row", "item_id", "words", "consistent").distinct()
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, **sizes: int) -> DataFrame:
