@@ -161,15 +161,14 @@ def retrieval_sources(hits: DataFrame) -> DataFrame:
     )
 
 
-def context_assembly(hits: DataFrame, max_hits: int = 10) -> DataFrame:
+def context_assembly(hits: DataFrame) -> DataFrame:
     """Per query: texts of the hits in rank order as one context, and the sorted distinct sources.
 
-    A query has at most ``max_hits`` hits (the largest k a retrieval may ask for), which bounds the lists.
+    The k of the retrieval bounds the lists; every hit handed in is used.
     """
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return (
-        hits.where(F.col("rank") <= max_hits)
-        .groupBy("query_id")
+        hits.groupBy("query_id")
         .agg(
             F.array_join(F.transform(ordered, lambda hit: hit["text"]), CONTEXT_SEPARATOR).alias("context"),
             F.array_join(F.array_sort(F.collect_set(F.coalesce("source", F.lit("Unknown")))), ", ").alias("sources"),

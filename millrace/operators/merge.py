@@ -4,28 +4,39 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.dedup import keep_latest
 
 
-def anti_join_existing(rows: DataFrame, existing: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+def has_key(keys: Sequence[str]) -> Column:
+    """No part of the key is missing."""
+    return reduce(and_, (F.col(k).isNotNull() for k in keys))
+
+
+def anti_join_existing(
+    rows: DataFrame, existing: DataFrame | None, keys: Sequence[str], latest_by: Sequence[str] = ()
+) -> DataFrame:
     """Rows whose key is not stored yet; all rows when there is no table.
 
-    Repeats inside ``rows`` are dropped first: the store may not hold the key yet, and
+    A NULL in the key equals nothing, so such rows all pass. Of rows that share a new key the
+    latest by ``latest_by`` is taken. Repeats inside ``rows`` are dropped first: the store may not hold the key yet, and
     one key repeated millions of times would otherwise meet in one join task.
     """
     keys = list(keys)
-    fresh = keep_latest(rows, keys, [])
+    unkeyed = rows.where(~has_key(keys))
+    fresh = keep_latest(rows.where(has_key(keys)), keys, latest_by)
     if existing is None:
-        return fresh
+        return fresh.unionByName(unkeyed)
     # First which of the new keys are stored: that side of a semi join may be broadcast, so a long
     # table is scanned for its key columns but not shuffled for the sake of a short batch.
     known = existing.select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
     # A join on named keys moves them to the front; the table's column order is kept.
-    return fresh.join(known, keys, "left_anti").select(*rows.columns)
+    return fresh.join(known, keys, "left_anti").select(*rows.columns).unionByName(unkeyed)
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -57,3 +57,6 @@ SUITES = {
     "silver_mes_events": MES_EVENTS,
     "silver_quality_events": QUALITY_EVENTS,
 }
+
+# The row count above fits a demonstration load of one size; the gate asks for it only if its caller does.
+GATE_SUITES = {name: [e for e in suite if e["type"] != ROW_COUNT] for name, suite in SUITES.items()}

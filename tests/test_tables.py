@@ -121,3 +121,24 @@ def test_partitioned_writes_make_few_files(spark):
     days = spark.range(0, 8000, 1, 8).withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 10).cast("int")))
     tables.write_layer_table(days, path, ["d"])
     assert tables.storage_files(spark, {"t": path}).count() == 10
+
+
+def test_rows_without_key_pass_the_anti_join_and_the_latest_version_wins(spark):
+    stored = spark.createDataFrame([("s", 1)], "k string, v long")
+    rows = spark.createDataFrame([("s", 9), ("n", 1), ("n", 2), (None, 3), (None, 3)], "k string, v long")
+    got = merge.anti_join_existing(rows, stored, ["k"], ["v"]).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("n", 2), (None, 3), (None, 3)]))
+
+
+def test_merge_into_days_loses_no_row_and_no_column(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = [("a", 1, "x", None), ("b", 2, "y", None), (None, 3, "z", "2024-01-01"), ("c", 4, "w", "2024-01-01")]
+    tables.merge_into_days(spark, path, spark.createDataFrame(first, "k string, v long, note string, d string").withColumn("d", F.col("d").cast("date")), ["k"], "d")
+    more = [("b", 20, 7, None), (None, 5, 8, "2024-01-01")]
+    updates = spark.createDataFrame(more, "k string, v long, extra long, d string").withColumn("d", F.col("d").cast("date"))
+    for _ in range(2):
+        tables.merge_into_days(spark, path, updates, ["k"], "d")
+        got = spark.read.option("mergeSchema", "true").parquet(path).select("k", "v", "note", "extra").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(
+            map(str, [("a", 1, "x", None), ("b", 20, None, 7), (None, 3, "z", None), ("c", 4, "w", None), (None, 5, None, 8)])
+        )
