@@ -78,9 +78,16 @@ def _candidates(text: Column, base: Column) -> Column:
             return F.lower(F.regexp_extract(F.substring(piece, -edge, edge), r"(\S+)\s*$", 1))
         return F.lower(F.regexp_extract(F.substring(piece, 1, edge), r"^\s*(\S+)", 1))
 
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size(found)),
-        lambda i: F.struct(F.get(pieces, i).alias("p"), F.get(found, i).alias("m"), F.get(pieces, i + 1).alias("q")),
+    # Bound to a name first: inside the inner function they would be computed again for every candidate.
+    parts = F.get(
+        F.transform(
+            F.array(F.struct(pieces.alias("p"), found.alias("m"))),
+            lambda z: F.transform(
+                F.sequence(F.lit(0), F.size(z["m"])),
+                lambda i: F.struct(F.get(z["p"], i).alias("p"), F.get(z["m"], i).alias("m"), F.get(z["p"], i + 1).alias("q")),
+            ),
+        ),
+        F.lit(0),
     )
 
     def add(acc: Column, x: Column) -> Column:
