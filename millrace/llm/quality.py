@@ -25,6 +25,7 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4)
 THRESHOLD = 0.7
 STORE = 200_000  # words that a worker remembers
+CHARS = 300_000  # of texts scored at once, unless one text alone is longer
 
 
 def word_buckets(words: list[str]) -> np.ndarray:
@@ -119,7 +120,7 @@ class Scorer:
 
     def score(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
-        for start, end in groups(texts):
+        for start, end in groups(texts, CHARS):
             words = [t.split() for t in texts[start:end]]
             sizes = np.array(list(map(len, words)))
             mean = np.zeros(len(words))
