@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 _SPACE = "▁"
 STORE = 300_000  # segments that a worker remembers
 CHARS = 2_000_000  # of texts handled at once, unless one text alone is longer
-_NORMAL, _USER = 1, 4  # fixed values: piece types of the protobuf
+_NORMAL, _USER, _BYTE = 1, 4, 6  # fixed values: piece types of the protobuf
 _UNIGRAM, _BPE = 1, 2  # fixed values: model types of the protobuf
 
 
@@ -38,7 +38,7 @@ class Codec:
     def __init__(self, model: bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, decoders, models, normalizers
 
         spec = sentencepiece_model_pb2.ModelProto()
         spec.ParseFromString(model)
@@ -57,17 +57,17 @@ class Codec:
             merges = [(-s, p[:i], p[i:]) for p, s in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
             merges.sort(key=lambda m: m[0])
             names = {p: i for i, (p, _) in enumerate(pieces)}
-            core = models.BPE(names, [(a, b) for _, a, b in merges], unk_token=pieces[unknown][0], fuse_unk=True, byte_fallback=fallback)
+            core = models.BPE(names, [(a, b) for _, a, b in merges], unk_token=pieces[unknown][0], fuse_unk=True, byte_fallback=fallback, cache_capacity=0)
         else:
             raise ValueError("only unigram and BPE models are supported")
         self.tokenizer = Tokenizer(core)
         steps = [normalizers.Precompiled(rules.precompiled_charsmap)] if rules.precompiled_charsmap else []
         self.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", _SPACE)])
         self.prefix = _SPACE
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+"), "isolated")
         self.tokenizer.decoder = decoders.Sequence(
             [decoders.Replace(_SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)]
         )
+        self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(_SPACE, " ").encode() for p in spec.pieces]
         self.identity = not steps
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = re.compile(f"{_SPACE}+[^{_SPACE}]*")
@@ -114,7 +114,14 @@ class Codec:
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        """Texts of ids. Their pieces' bytes are joined; what is then no UTF-8 is left to the library's byte fallback."""
+        out = []
+        for each in map(np.ndarray.tolist, ids):
+            try:
+                out.append(b"".join(map(self.raw.__getitem__, each)).decode().removeprefix(" "))
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(each, skip_special_tokens=False))
+        return out
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
