@@ -30,7 +30,7 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[ -]?[0-9])++"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_CANDIDATE = r"[0-9@]\S*+"  # of a word, from its first digit or @
 
 
 def _digits(match: Column) -> Column:
@@ -73,9 +73,20 @@ def _candidates(text: Column, base: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0))
     edge = 60  # characters beside a candidate that are searched for the neighbouring word
 
-    def beside(piece: Column, left: bool) -> Column:
-        if left:
-            return F.lower(F.regexp_extract(F.substring(piece, -edge, edge), r"(\S+)\s*$", 1))
+    def start_of_word(piece: Column) -> Column:
+        """What the piece holds of the word that the match goes on with."""
+        return F.substring_index(F.translate(piece, "\t\n\x0b\f\r", " " * 5), " ", -1)
+
+    def up_to_word(piece: Column, match: Column) -> Column:
+        """The piece without the start of a word that ``match`` goes on with; a candidate is no context of another."""
+        return F.when(match.isNull(), piece).otherwise(piece.substr(F.lit(1), F.length(piece) - F.length(start_of_word(piece))))
+
+    def before(piece: Column, size: Column) -> Column:
+        """The word before the first ``size`` characters end."""
+        near = piece.substr(F.greatest(size - (edge - 1), F.lit(1)), F.least(size, F.lit(edge)))
+        return F.lower(F.regexp_extract(near, r"(\S+)\s*$", 1))
+
+    def after(piece: Column) -> Column:
         return F.lower(F.regexp_extract(F.substring(piece, 1, edge), r"^\s*(\S+)", 1))
 
     # Bound to a name first: inside the inner function they would be computed again for every candidate.
@@ -84,22 +95,28 @@ def _candidates(text: Column, base: Column) -> Column:
             F.array(F.struct(pieces.alias("p"), found.alias("m"))),
             lambda z: F.transform(
                 F.sequence(F.lit(0), F.size(z["m"])),
-                lambda i: F.struct(F.get(z["p"], i).alias("p"), F.get(z["m"], i).alias("m"), F.get(z["p"], i + 1).alias("q")),
+                lambda i: F.struct(
+                    F.get(z["p"], i).alias("p"),
+                    F.get(z["m"], i).alias("m"),
+                    up_to_word(F.get(z["p"], i + 1), F.get(z["m"], i + 1)).alias("q"),
+                    start_of_word(F.get(z["p"], i)).alias("w"),
+                ),
             ),
         ),
         F.lit(0),
     )
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        size = F.length(x["p"]) - F.length(x["w"])
+        start = acc["at"] + size
+        end = acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
         touched = F.filter(base, lambda b: (b["s"] < end) & (b["e"] > start))
         item = F.struct(
             start.alias("s"),
             end.alias("e"),
-            F.lower(x["m"]).alias("word"),
-            beside(x["p"], True).alias("left"),
-            beside(x["q"], False).alias("right"),
+            F.lower(F.concat(x["w"], x["m"])).alias("word"),
+            before(x["p"], size).alias("left"),
+            after(x["q"]).alias("right"),
             F.get(touched, 0)["no"].alias("no"),
         )
         likely = x["m"].isNotNull() & (x["m"].contains("@") | (F.length(_digits(x["m"])) >= 4))
