@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 _SPACE = "▁"
 STORE = 300_000  # segments that a worker remembers
-CHARS = 2_000_000  # of texts handled at once, unless one text alone is longer
+CHARS = 250_000  # of texts handled at once, unless one text alone is longer
+_LEARN = 20_000  # new segments that go through both libraries at once
 _NORMAL, _USER, _BYTE = 1, 4, 6  # fixed values: piece types of the protobuf
 _UNIGRAM, _BPE = 1, 2  # fixed values: model types of the protobuf
 
@@ -103,8 +104,8 @@ class Codec:
         if len(self.known) + len(new) > STORE:
             self._forget()
             new = list(needed)
-        if new:
-            self._learn(new)
+        for start in range(0, len(new), _LEARN):
+            self._learn(new[start : start + _LEARN])
         out = []
         for each in cut:
             rows = np.fromiter(map(self.known.__getitem__, each), np.int64, len(each))
