@@ -195,6 +195,42 @@ def test_near_copies_go(spark):
     assert near_copies.drop_near_copies(docs.where("false")).count() == 0
 
 
+def edited(words, seed, places):
+    """A text with ``places`` words replaced, far apart."""
+    rng = np.random.default_rng(seed)
+    out = list(words)
+    for at in rng.choice(np.arange(5, len(out) - 5, 6), places, replace=False):
+        out[at] = f"w{seed}x{at}"
+    return out
+
+
+def exact_similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("length,places", [(100, 2), (400, 8)])
+def test_copies_of_an_original_with_a_large_id_go(spark, length, places):
+    original = prose(20, length).split()
+    rows = [(i, " ".join(edited(original, i, places))) for i in range(40)] + [(100, " ".join(original)), (101, prose(21, length))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r.node for r in connected(near_copies.near_links(docs)).where("node <> component").collect()}
+    alike = {i for i, t in rows[:40] if exact_similarity(t.split(), original) >= 0.8}
+    assert len(alike) == 40 and gone == set(range(1, 40)) | {100}
+
+
+def test_near_links_join_what_all_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    texts = [prose(30 + i, 100).split() for i in range(3)]
+    for i in range(60):  # a random tree: copies of copies, most of them below 0.8 to most others
+        texts.append(edited(texts[int(np.random.default_rng(i).integers(len(texts)))], 50 + i, 1 + i % 4))
+    order = np.random.default_rng(1).permutation(len(texts)).tolist()
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in zip(order, texts, strict=True)], "doc_id long, text string")
+    want = [(a, b) for a, s in zip(order, texts, strict=True) for b, t in zip(order, texts, strict=True) if a < b and exact_similarity(s, t) >= 0.8]
+    want = {(r.node, r.component) for r in connected(spark.createDataFrame(want, "a long, b long")).collect()}
+    assert {(r.node, r.component) for r in connected(near_copies.near_links(docs)).collect()} == want
+
+
 def test_passages(docs, nothing):
     firsts = {}
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
