@@ -231,6 +231,14 @@ def test_near_links_join_what_all_pairs_join(spark, monkeypatch):
     assert {(r.node, r.component) for r in connected(near_copies.near_links(docs)).collect()} == want
 
 
+def test_texts_of_one_fingerprint_stay_unless_alike(spark):
+    texts = [" ".join(["here is the same line once again"] * 200 + [f"w{k}x{i}" for i in range(300)]) for k in range(2)]
+    texts.append(texts[1].replace("w1x150", "other"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_groups(docs).collect()} == {0}  # one component, though 0 is unlike both others
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == [0, 1]
+
+
 def test_passages(docs, nothing):
     firsts = {}
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
