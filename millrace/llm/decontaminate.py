@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question with other values keeps its template. Windows of
 template words are hashed; the benchmark's windows are joined to the documents' by hash. A document and an item that share
 a window are laid side by side at its offset. They match if enough template words in a row are equal and the values in the
-placeholders correspond one to one: the same value of the item always meets the same value in the document.
+placeholders of that run correspond one to one: the same value of the item always meets the same value in the document.
+What the rest of the item meets in the document plays no part.
 """
 
 from __future__ import annotations
@@ -64,18 +65,60 @@ def _is_slot(word: Column) -> Column:
     return word.isin("<num>", "<unit>", "<name>")
 
 
+def _looked_up(words: Column, window: int, step: int) -> Column:
+    """(at, hash) of every ``step``-th window, and where that is all placeholders, of all windows that can stand in for it."""
+    empty = F.array().cast("array<struct<at:int,hash:bigint>>")
+    last = F.size(words) - (window - 1)
+    near = lambda i: F.sequence(F.greatest(F.lit(1), i - (step - 1)), F.least(last, i + (step - 1)))
+    places = F.transform(
+        F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.when(F.forall(F.slice(words, i, window), _is_slot), near(i)).otherwise(F.array(i))
+    )
+    hashed = F.transform(
+        F.array_distinct(F.flatten(places)),
+        lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(words, i, window)).alias("hash")),
+    )
+    return F.when(F.size(words) >= window, hashed).otherwise(empty)
+
+
+def _longest_run(pairs: Column) -> Column:
+    """Most ``pairs`` in a row that are the same and whose values correspond one to one."""
+    same = lambda x: F.coalesce(x["same"], F.lit(False))
+
+    def after_conflict(x: Column, slots: Column) -> Column:
+        """The place after the last earlier slot that maps one of x's values to another one."""
+        differs = lambda y: (y["kind"] == x["kind"]) & ((y["mine"] == x["mine"]) != (y["theirs"] == x["theirs"]))
+        return F.aggregate(
+            slots, F.lit(0), lambda acc, y: F.when((y["at"] < x["at"]) & differs(y), F.greatest(acc, y["at"] + 1)).otherwise(acc)
+        )
+
+    def longest(slots: Column) -> Column:
+        def first(acc: Column, x: Column) -> Column:
+            moved = F.when(_is_slot(x["kind"]), F.greatest(acc["first"], after_conflict(x, slots))).otherwise(acc["first"])
+            return F.when(same(x), moved).otherwise(x["at"] + 1)
+
+        return F.aggregate(
+            pairs,
+            F.struct(F.lit(0).alias("first"), F.lit(0).alias("most")),
+            lambda acc, x: _let(first(acc, x), lambda f: F.struct(f.alias("first"), F.greatest(acc["most"], x["at"] + 1 - f).alias("most"))),
+            lambda acc: acc["most"],
+        )
+
+    return _let(F.filter(pairs, lambda x: same(x) & _is_slot(x["kind"])), longest)
+
+
 def _hits(docs: DataFrame, items: DataFrame, window: int, least: int) -> DataFrame:
     """row, item and offset of every document and item that share a window there.
 
     A match covers ``least`` words in a row, so it holds ``least - window + 1`` windows in a row; documents therefore
-    only need every so manyth window, while items have all of theirs. Shorter items shorten that step.
+    only need every so manyth window, while items have all of theirs. Shorter items shorten that step. Windows of
+    placeholders alone are not joined; a document looks up all windows around one of its own.
     """
     shortest = items.where(F.size("template") >= window).agg(F.min(F.size("template"))).first()[0]
     step = min(least, shortest or least) - window + 1
     of_item = items.select("item", "template", F.explode(_windows(F.col("template"), window, 1)).alias("w"))
     literal = F.exists(F.slice("template", F.col("w.at") + 1, window), lambda x: ~_is_slot(x))
     of_item = written(of_item.where(literal).select("item", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")), "leaks-windows")
-    found = _let(F.split(template_of(raw_words(whole_text())), " "), lambda t: _windows(t, window, step))
+    found = _let(F.split(template_of(raw_words(whole_text())), " "), lambda t: _looked_up(t, window, step))
     of_doc = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.explode(found).alias("w")).select("row", "w.at", "w.hash")
     side = F.broadcast(of_item) if of_item.count() <= BROADCAST_ROWS else of_item
     met = of_doc.withColumnRenamed("at", "place").join(side, "hash")
@@ -83,12 +126,12 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, least: int) -> DataFra
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """Matches: row (hash of doc_id and text), item_id, words (longest run in common) and whether the values correspond.
+    """Matches: row (hash of doc_id and text), item_id, words (longest run in common) and whether its values correspond.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Null texts count as empty. A match is a run of ``least``
     equal template words, or all of a shorter item, with ``LITERAL`` words that are no placeholders. Items with fewer than
-    ``window`` words match nothing, and neither do ``window`` placeholders in a row. Repeated rows of either table give
-    the same matches once.
+    ``window`` words match nothing, and neither do ``window`` placeholders in a row. Of runs that are long enough, one
+    whose values correspond goes first. Repeated rows of either table give the same matches once.
     """
     items = benchmark.select(F.col("item_id").alias("item"), raw_words(whole_text()).alias("words")).distinct()
     items = items.select("item", F.split("words", " ").alias("mine"), F.split(template_of(F.col("words")), " ").alias("template"))
@@ -101,6 +144,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
     pairs = F.transform(
         "template",
         lambda kind, i: F.struct(
+            i.alias("at"),
             kind.alias("kind"),
             (kind == F.get("other", i + F.col("offset"))).alias("same"),
             F.get("mine", i).alias("mine"),
@@ -117,14 +161,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
         lambda acc: acc["most"],
     )
     same = F.filter("pairs", lambda x: F.coalesce(x["same"], F.lit(False)))
-    slots = F.array_distinct(F.filter(same, lambda x: _is_slot(x["kind"])))
-    mine = F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x["mine"])))
-    theirs = F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x["theirs"])))
-    matches = (F.size(mine) == F.size(slots)) & (F.size(theirs) == F.size(slots))
     literal = F.size(F.filter(same, lambda x: ~_is_slot(x["kind"])))
-    both = both.select("row", F.col("item").alias("item_id"), "size", run.alias("words"), literal.alias("literal"), matches.alias("consistent"))
-    enough = (F.col("words") >= F.least(F.lit(least), F.col("size"))) & (F.col("literal") >= LITERAL)
-    return both.where(enough).select("row", "item_id", "words", "consistent").distinct()
+    both = both.select("row", F.col("item").alias("item_id"), run.alias("run"), _longest_run(F.col("pairs")).alias("whole"), literal.alias("literal"), "size")
+    need = F.least(F.lit(least), F.col("size"))
+    both = both.where((F.col("run") >= need) & (F.col("literal") >= LITERAL)).withColumn("consistent", F.col("whole") >= need)
+    words = F.when(F.col("consistent"), F.col("whole")).otherwise(F.col("run"))
+    return both.select("row", "item_id", words.alias("words"), "consistent").distinct()
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, **sizes: int) -> DataFrame:

@@ -281,6 +281,26 @@ def test_leaks(spark):
     assert not any(r.contaminated for r in decontaminate.leaks_by_document(frame, bench.where("false")).collect())
 
 
+def test_runs_correspond_by_themselves(spark):
+    items = [ITEMS[0], (5, "pears and plums 7 grow on old trees 7 miles from town")]
+    docs = [
+        (0, ITEMS[0][1].replace("12 sheep", "13 sheep")),  # 18 words that correspond, after the value that meets two
+        (1, items[1][1].replace("7 miles", "8 miles")),  # no run without the value that meets two
+        (2, items[1][1].replace("7", "9")),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.words) for r in decontaminate.leaks_by_document(frame, bench).collect()}
+    assert got == {0: (1, 18), 1: (None, 0), 2: (5, 12)}
+
+
+def test_items_with_eight_numbers_in_a_row(spark):
+    item = "values 1 2 3 4 5 6 7 8 9 come out here"
+    frame = spark.createDataFrame([(n, "we " * n + item + " again") for n in range(7)], "doc_id long, text string")
+    bench = spark.createDataFrame([(6, item)], "item_id long, text string")
+    assert {(r.item_id, r.words) for r in decontaminate.leaks_by_document(frame, bench).collect()} == {(6, 13)}
+
+
 def test_codec_round_trip_and_parity(spark, docs):
     import sentencepiece
 
