@@ -14,6 +14,7 @@ from millrace.llm.pii import find_personal_data
 from millrace.llm.quality import score_quality
 from millrace.llm.sentencepiece_codec import round_trip
 from millrace.llm.simhash import near_groups
+from millrace.llm.spelling_variants import group_variants
 from millrace.llm.substring_dedup import passage_digests
 from millrace.llm.url_filter import judge_urls
 
@@ -115,6 +116,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
@@ -126,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_substring_dedup": OP9_SQL}
