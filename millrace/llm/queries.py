@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import secrets
+from millrace.llm.collocations import collocations
 from millrace.llm.decontaminate import leaks_by_document
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.language_id import predict_languages
@@ -120,6 +121,46 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+lengths AS (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS k FROM words),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lengths WHERE len(w) >= k),
+counts AS (
+  SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.p, c.k, c.f AS a, x.f AS l, y.f AS r, n, unnest_k AS cut,
+         (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS unnest_k FROM counts WHERE k > 1) AS c
+  JOIN counts AS x ON x.lang = c.lang AND x.p = c.p[1:unnest_k]
+  JOIN counts AS y ON y.lang = c.lang AND y.p = c.p[unnest_k + 1:]
+  JOIN totals AS t ON t.lang = c.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, p[j:j + m - 1] AS p, max(f) AS f
+  FROM (SELECT lang, p, f, k, m, unnest(range(1, k - m + 2)) AS j
+        FROM (SELECT *, unnest(range(2, k)) AS m FROM counts WHERE k > 2))
+  GROUP BY ALL),
+left_over AS (
+  SELECT lowest.* FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND longer.p = lowest.p
+  WHERE longer.f IS NULL OR longer.f < a),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
@@ -132,5 +173,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
     "op11_spelling": op11_spelling,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op13_collocations": OP13_SQL}
