@@ -11,6 +11,7 @@ from millrace.llm.collocations import collocations
 from millrace.llm.decontaminate import leaks_by_document
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.language_id import predict_languages
+from millrace.llm.license_scan import BASE, INDEX_WORDS, LEAST_SHARE, LOOKED_UP, TEMPLATES, scan_licenses
 from millrace.llm.pii import find_personal_data
 from millrace.llm.quality import score_quality
 from millrace.llm.sentencepiece_codec import round_trip
@@ -121,6 +122,71 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("notices")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+def _passages() -> dict[str, str]:
+    """The license passages as rows of SQL values."""
+    split = [(t, label, passage.split(), some) for t, (label, passage, some) in enumerate(TEMPLATES)]
+    return {
+        "labels": _values((t, label) for t, label, _, _ in split),
+        "words": _values((t, w, q) for t, _, words, _ in split for q, w in enumerate(words)),
+        "keys": _values(
+            (t, min(i for i in range(len(words)) if words[i : i + len(k.split())] == k.split()), len(k.split()), k)
+            for t, _, words, some in split
+            for k in some
+        ),
+        "base": _values((phrase.split()[0], len(phrase.split()), phrase, label) for phrase, label in BASE),
+    }
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+places AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM words),
+labels(t, label) AS (VALUES %(labels)s),
+passages(t, word, q) AS (VALUES %(words)s),
+keys(t, place, size, phrase) AS (VALUES %(keys)s),
+base(word, size, phrase, label) AS (VALUES %(base)s),
+held AS (SELECT word, count(DISTINCT id) AS df FROM places SEMI JOIN passages USING (word) GROUP BY word),
+ranked AS (
+  SELECT t, word, q, coalesce(df, 0) AS df, dense_rank() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word) AS rank
+  FROM passages LEFT JOIN held USING (word)),
+postings AS (SELECT * FROM ranked WHERE rank <= %(index_words)s),
+chosen AS (
+  SELECT id, word FROM (SELECT DISTINCT id, word, df FROM places JOIN (SELECT DISTINCT word, df FROM postings) USING (word))
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, word) <= %(looked_up)s),
+votes AS (
+  SELECT DISTINCT id, t, i - q AS start, word FROM places JOIN chosen USING (id, word) JOIN postings USING (word)),
+found AS (SELECT id, t, start, count(*) AS hits FROM votes WHERE start >= 0 GROUP BY id, t, start),
+shares AS (
+  SELECT id, t, start, hits / n AS share
+  FROM found JOIN (SELECT t, count(DISTINCT word) AS n FROM postings GROUP BY t) USING (t)),
+notices AS (
+  SELECT id, t, start, share FROM shares JOIN keys USING (t) JOIN words USING (id) WHERE share >= %(least)s
+  GROUP BY id, t, start, share HAVING bool_and(array_to_string(w[start + place + 1:start + place + size], ' ') = phrase)),
+own AS (SELECT id, list(label) AS l, max(share) AS score FROM notices JOIN labels USING (t) GROUP BY id),
+fixed AS (
+  SELECT id, i, label FROM places JOIN base USING (word) JOIN words USING (id)
+  WHERE array_to_string(w[i + 1:i + size], ' ') = phrase),
+known AS (
+  SELECT id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(label) AS l FROM fixed GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, array_to_string(list_sort(list_distinct(coalesce(known.l, []))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(known.l, []), coalesce(own.l, [])))), ',') AS labels,
+       CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM words LEFT JOIN known USING (id) LEFT JOIN own USING (id)
+""" % (_passages() | {"index_words": INDEX_WORDS, "looked_up": LOOKED_UP, "least": LEAST_SHARE})
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -173,6 +239,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
     "op11_spelling": op11_spelling,
+    "op12_licenses": op12_licenses,
     "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op13_collocations": OP13_SQL}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+    "op4_url_filter": OP4_SQL,
+    "op9_substring_dedup": OP9_SQL,
+    "op12_licenses": OP12_SQL,
+    "op13_collocations": OP13_SQL,
+}
