@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import bounded_sample, held_out
-from millrace.llm.words import WordStore, groups, sums
+from millrace.llm.words import WordStore, groups, releasing, sums
 
 MAX_WORD = 48
-STORE = 300_000  # words that a worker remembers
+STORE = 200_000  # words that a worker remembers
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = "▁"
 _UNKNOWN_CHAR = 1e-7  # share of mass a language gives to characters outside the vocabulary, before training
@@ -157,7 +157,7 @@ def train(sample: list[tuple[str, str]], pieces: list[str], rounds: int = 3, pri
     seen: dict[str, np.ndarray] = {}
     for text, lang in sample:
         k = langs.index(lang)
-        for word in (_SPACE + w for w in words_of(text) if len(w) < 24):
+        for word in (part for w in words_of(text) for part in parts_of(w)):
             if word not in seen:
                 seen[word] = np.zeros(len(langs))
             seen[word][k] += 1
@@ -219,13 +219,14 @@ def identify(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray
             found, shares = scorer.predict([t if isinstance(t, str) else None for t in batch["text"]])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": found, "score": shares})
 
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {doc_type}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInPandas(releasing(score), f"doc_id {doc_type}, lang_pred string, score double")
 
 
 def fit(docs: DataFrame, vocabulary: str, max_rows: int = 300, max_chars: int = 1_500_000) -> tuple[list[str], list[str], np.ndarray]:
     """Pieces, languages and probabilities, learned from rows that are not held out and have text and lang.
 
-    Of each language at most ``max_rows`` rows and ``max_chars`` characters are used, chosen by a hash of the id.
+    Of each language at most ``max_rows`` rows and ``max_chars`` characters are used, chosen by a hash of the id
+    (``bounded_sample``).
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     pieces = read_pieces(vocabulary)
@@ -245,6 +246,7 @@ def keep_identified(docs: DataFrame, vocabulary: str, wanted: list[str] | None =
     wanted = langs if wanted is None else wanted
 
     @F.pandas_udf("boolean")
+    @releasing
     def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(pieces, langs, p)
         for texts in batches:

@@ -20,8 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.words import releasing
+
 _SPACE = "▁"
-STORE = 300_000  # segments that a worker remembers
+STORE = 200_000  # segments that a worker remembers
 CHARS = 250_000  # of texts handled at once, unless one text alone is longer
 _LEARN = 20_000  # new segments that go through both libraries at once
 _NORMAL, _USER, _BYTE = 1, 4, 6  # fixed values: piece types of the protobuf
@@ -145,6 +147,7 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -
     model = read_model(path)
 
     @F.pandas_udf("struct<input_ids: array<int>, parity: boolean>")
+    @releasing
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(model)
         for batch in batches:
@@ -161,6 +164,7 @@ def decode(encoded: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)
     model = read_model(path)
 
     @F.pandas_udf("string")
+    @releasing
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(model)
         for batch in batches:
@@ -180,6 +184,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     model = read_model(path)
 
     @F.pandas_udf("struct<n_tokens: bigint, ids_sha256: string, text_sha256: string, lossless: boolean, parity: boolean>")
+    @releasing
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(model)
         for batch in batches:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import written
 from millrace.llm.components import connected
+from millrace.llm.words import releasing
 
 THRESHOLD = 2
 _FOLD, _HALF = 46, 23
@@ -176,8 +177,8 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if rest:
             yield found(rest)
 
-    placed = prints.select("fingerprint").mapInArrow(replicate, "anchor bigint, fingerprint bigint, home boolean")
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a bigint, b bigint")
+    placed = prints.select("fingerprint").mapInArrow(releasing(replicate), "anchor bigint, fingerprint bigint, home boolean")
+    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(releasing(compare), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = 3) -> DataFrame:

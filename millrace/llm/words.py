@@ -1,10 +1,14 @@
-"""A worker's bounded memory of words."""
+"""A worker's bounded memory of words, and what it gives back."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 TEXTS, CHARS = 2000, 4_000_000  # of a group of texts handled at once, unless one text alone is longer
 
@@ -42,6 +46,27 @@ class WordStore:
         return self.table[at]
 
 
+def release() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` (batches in, batches out), with its memory handed back at the end: later tasks reuse the worker."""
+
+    @functools.wraps(run)
+    def released(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return released
+
+
 def groups(texts: Sequence[str], most: int = CHARS) -> Iterator[tuple[int, int]]:
     """Start and end of groups of texts, so that words are looked up for many texts at once."""
     start = chars = 0
