@@ -49,15 +49,19 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def bounded_sample(docs: DataFrame, marks: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, object]]:
     """Whole texts and labels of at most ``max_rows`` rows and ``max_chars`` characters of each label.
 
-    ``marks`` holds doc_id and ``label``, ``docs`` doc_id and text; rows without text or label are left out. Ids are
-    picked from ``marks`` alone, in the order of their hash, so the choice depends on neither partitions nor size, and
-    only picked texts move. Texts beyond the character bound are left out whole. labels x ``max_chars`` bounds what
-    the driver gets.
+    ``marks`` holds doc_id and ``label``, ``docs`` doc_id and text; rows without text or label are left out, and so are
+    texts longer than a quarter of ``max_chars``, before anything is ranked. Rows are taken in the order of a hash of
+    the id until a bound is reached, so the choice depends on neither partitions nor size. Ids whose hash lies
+    beyond about twice the share that ``max_rows`` needs are left out before the shuffle, so no task ranks all
+    rows of a label. labels x ``max_chars`` bounds what the driver gets.
     """
     known = marks.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
-    by_id = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("_rank", F.row_number().over(by_id)).where(F.col("_rank") <= max_rows).drop("_rank")
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id")
+    numbers = known.groupBy(label).agg(F.count(F.lit(1)).alias("_number"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    first = place * F.col("_number") <= 2 * max_rows + 100
+    picked = known.join(F.broadcast(numbers), label).where(first).select("doc_id", label).distinct()
+    fits = F.length("text") <= max_chars // 4  # null lengths fit nothing
+    texts = docs.where(fits).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     by_text = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     rows = texts.withColumn("_rank", F.row_number().over(by_text)).where(F.col("_rank") <= max_rows)
     rows = rows.withColumn("_sum", F.sum(F.length("text")).over(Window.partitionBy(label).orderBy("_rank")))
