@@ -80,8 +80,11 @@ def _looked_up(words: Column, window: int, step: int) -> Column:
     return F.when(F.size(words) >= window, hashed).otherwise(empty)
 
 
-def _longest_run(pairs: Column) -> Column:
-    """Most ``pairs`` in a row that are the same and whose values correspond one to one."""
+def _longest_run(pairs: Column, need: Column, corresponding: bool) -> Column:
+    """Most ``pairs`` in a row that are the same, ``need`` or more with ``LITERAL`` words that are no placeholders; or 0.
+
+    With ``corresponding``, the values within the run also correspond one to one.
+    """
     same = lambda x: F.coalesce(x["same"], F.lit(False))
 
     def after_conflict(x: Column, slots: Column) -> Column:
@@ -93,13 +96,22 @@ def _longest_run(pairs: Column) -> Column:
 
     def longest(slots: Column) -> Column:
         def first(acc: Column, x: Column) -> Column:
-            moved = F.when(_is_slot(x["kind"]), F.greatest(acc["first"], after_conflict(x, slots))).otherwise(acc["first"])
+            moved = acc["first"]
+            if corresponding:
+                moved = F.when(_is_slot(x["kind"]), F.greatest(moved, after_conflict(x, slots))).otherwise(moved)
             return F.when(same(x), moved).otherwise(x["at"] + 1)
 
+        def literal(f: Column, size: Column) -> Column:
+            return F.size(F.filter(F.slice(pairs, f + 1, size), lambda y: ~_is_slot(y["kind"])))
+
+        def most(acc: Column, f: Column, size: Column) -> Column:
+            longer = (size >= need) & (size > acc["most"])
+            return F.when(F.when(longer, literal(f, size)).otherwise(0) >= LITERAL, size).otherwise(acc["most"])
+
         return F.aggregate(
             pairs,
             F.struct(F.lit(0).alias("first"), F.lit(0).alias("most")),
-            lambda acc, x: _let(first(acc, x), lambda f: F.struct(f.alias("first"), F.greatest(acc["most"], x["at"] + 1 - f).alias("most"))),
+            lambda acc, x: _let(first(acc, x), lambda f: F.struct(f.alias("first"), most(acc, f, x["at"] + 1 - f).alias("most"))),
             lambda acc: acc["most"],
         )
 
@@ -129,7 +141,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
     """Matches: row (hash of doc_id and text), item_id, words (longest run in common) and whether its values correspond.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. Null texts count as empty. A match is a run of ``least``
-    equal template words, or all of a shorter item, with ``LITERAL`` words that are no placeholders. Items with fewer than
+    equal template words, or all of a shorter item, that has ``LITERAL`` words that are no placeholders. Items with fewer than
     ``window`` words match nothing, and neither do ``window`` placeholders in a row. Of runs that are long enough, one
     whose values correspond goes first. Repeated rows of either table give the same matches once.
     """
@@ -152,19 +164,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
         ),
     )
     both = written(both.select("row", "item", F.size("template").alias("size"), pairs.alias("pairs")), "leaks-pairs")
-    run = F.aggregate(
-        "pairs",
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda acc, x: _let(
-            F.when(x["same"], acc["now"] + 1).otherwise(0), lambda n: F.struct(n.alias("now"), F.greatest(acc["most"], n).alias("most"))
-        ),
-        lambda acc: acc["most"],
-    )
-    same = F.filter("pairs", lambda x: F.coalesce(x["same"], F.lit(False)))
-    literal = F.size(F.filter(same, lambda x: ~_is_slot(x["kind"])))
-    both = both.select("row", F.col("item").alias("item_id"), run.alias("run"), _longest_run(F.col("pairs")).alias("whole"), literal.alias("literal"), "size")
     need = F.least(F.lit(least), F.col("size"))
-    both = both.where((F.col("run") >= need) & (F.col("literal") >= LITERAL)).withColumn("consistent", F.col("whole") >= need)
+    both = both.select(
+        "row",
+        F.col("item").alias("item_id"),
+        _longest_run(F.col("pairs"), need, False).alias("run"),
+        _longest_run(F.col("pairs"), need, True).alias("whole"),
+    )
+    both = both.where("run > 0").withColumn("consistent", F.col("whole") > 0)
     words = F.when(F.col("consistent"), F.col("whole")).otherwise(F.col("run"))
     return both.select("row", "item_id", words.alias("words"), "consistent").distinct()
 

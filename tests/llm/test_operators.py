@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, exact_dedup, language_id, near_copies, pii, quality, secrets, sentencepiece_codec, simhash, substring_dedup, url_filter
 from millrace.llm.components import connected
@@ -268,15 +269,15 @@ def test_leaks(spark):
     docs = [
         (1, "Intro words. " + ITEMS[0][1] + " More words follow."),
         (2, ITEMS[0][1].replace("12", "40").replace("Oldtown", "Newport").replace("5 kg", "7 lb")),
-        (3, ITEMS[0][1].replace("12 sheep", "13 sheep")),  # one value of the item meets two
+        (3, ITEMS[0][1].replace("12 sheep", "13 sheep")),  # one value of the item meets two, but 18 words in a row correspond
         (4, "It is well known that the quick brown fox sleeps."),
         (5, None), (6, ""), (7, LONG), (8, ITEMS[3][1].upper()),
     ]
     frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {r.doc_id: (r.contaminated, r.item_id) for r in decontaminate.leaks_by_document(frame, bench).collect()}
-    assert got == {1: (True, 1), 2: (True, 1), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, None), 8: (True, 4)}
-    assert [r.doc_id for r in decontaminate.drop_leaks(frame, bench).orderBy("doc_id").collect()] == [3, 4, 5, 6, 7]
+    assert got == {1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (False, None), 5: (False, None), 6: (False, None), 7: (False, None), 8: (True, 4)}
+    assert [r.doc_id for r in decontaminate.drop_leaks(frame, bench).orderBy("doc_id").collect()] == [4, 5, 6, 7]
     assert decontaminate.leaks_by_document(frame.where("false"), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.leaks_by_document(frame, bench.where("false")).collect())
 
@@ -294,6 +295,34 @@ def test_runs_correspond_by_themselves(spark):
     assert got == {0: (1, 18), 1: (None, 0), 2: (5, 12)}
 
 
+def test_words_outside_the_run_do_not_count(spark):
+    """A run of one word and twelve numbers is no leak, though other words of the item stand elsewhere; a later run is."""
+    numbers = " ".join(str(n) for n in range(20, 32))
+    item = f"costs {numbers} then the buyers took home all they had paid for in the end of that long day"
+    other = " ".join(str(n) for n in range(50, 62))
+    docs = [
+        (0, f"costs {other} x the buyers y home all z they w had"),
+        (1, f"costs {other} x the buyers took home all they had paid for in the end of that long day"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.words) for r in decontaminate.leaks_by_document(frame, bench).collect()}
+    assert got[0] == (False, 0) and got[1][0] and got[1][1] >= 13
+
+
+def test_sample_leaves_out_only_texts_that_are_too_long(spark):
+    from millrace.llm.common import bounded_sample
+
+    rows = [(i, "x" * (5000 if i == 7 else 40)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, "a") for i in range(20)], "doc_id long, label string")
+    assert len(bounded_sample(docs, marks, "label", 50, 4000)) == 19
+    assert len(bounded_sample(docs, marks, "label", 5, 4000)) == 5
+    assert sum(len(t) for t, _ in bounded_sample(docs, marks, "label", 50, 400)) <= 400
+    many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert len(bounded_sample(many, many.select("doc_id", F.lit("b").alias("label")), "label", 100, 4000)) == 100
+
+
 def test_items_with_eight_numbers_in_a_row(spark):
     item = "values 1 2 3 4 5 6 7 8 9 come out here"
     frame = spark.createDataFrame([(n, "we " * n + item + " again") for n in range(7)], "doc_id long, text string")
