@@ -1,22 +1,24 @@
-"""Exact nearest neighbours of a set of query vectors."""
+"""Nearest neighbours of a set of query vectors: exact by blocks, or through random-projection buckets."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import scratch
-
-# Query values broadcast at once (8 bytes each): 64 MB. A larger set is answered block by block.
-BLOCK_VALUES = 8 << 20
-# Queries scored against one batch at a time, so a score matrix stays near 20 MB.
-QUERIES_PER_PRODUCT = 256
+# Vector elements of one side of a cell: 16 MB as 8-byte numbers.
+CELL_VALUES = 2 << 20
+# Queries and corpus rows of one matrix product, so a score matrix stays near 8 MB.
+PRODUCT_QUERIES, PRODUCT_ROWS = 256, 4096
 MAX_K = 10
 
+TABLES, BITS, PROBES = 8, 12, 16
+_MAX_BITS, _MAX_FLIPS = 20, 3
+
 _HITS = "query_id bigint, hit_id bigint, score double"
 
 
@@ -35,42 +37,80 @@ def _best(rows: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int):
     return rows[keep], keys[keep], scores[keep]
 
 
-def _block_hits(block: list, corpus: DataFrame, k: int, metric: str) -> DataFrame:
-    """Each task's k best corpus rows per query; nothing else leaves the task."""
-    ids = np.array([row[0] for row in block], dtype=np.int64)
-    vectors = np.array([row[1] for row in block], dtype=np.float64)
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, _unit_rows(vectors) if metric == "cosine" else vectors))
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), width)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(1)
-            matrix = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+def _cell(k: int, metric: str, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best corpus rows of a cell for every query of the cell; nothing else leaves it."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        query_ids, row_ids = (t.column("id").to_numpy() for t in (left, right))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(query_ids) and len(row_ids):
+            queries, rows = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
             if metric == "cosine":
-                matrix = _unit_rows(matrix)
-            row_keys = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = [held]
-            for start in range(0, len(queries), QUERIES_PER_PRODUCT):
-                # Rounded, so equal vectors tie whatever batch they came in.
-                scores = np.round(queries[start : start + QUERIES_PER_PRODUCT] @ matrix.T, 12)
-                if scores.shape[1] > k:
-                    floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                    rows, columns = np.nonzero(scores >= floor[:, None])
-                else:
-                    rows, columns = np.nonzero(np.ones_like(scores, dtype=bool))
-                parts.append((rows + start, row_keys[columns], scores[rows, columns]))
-            held = _best(*(np.concatenate(column) for column in zip(*parts)), k)
-        rows, keys, scores = held
-        if len(rows):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[rows]), pa.array(keys.astype(np.int64)), pa.array(scores)],
-                names=["query_id", "hit_id", "score"],
-            )
-
-    return corpus.mapInArrow(score, _HITS)
+                queries, rows = _unit_rows(queries), _unit_rows(rows)
+            parts = []
+            for start in range(0, len(queries), PRODUCT_QUERIES):
+                some = queries[start : start + PRODUCT_QUERIES]
+                own = (held[0][:0], held[1][:0], held[2][:0])
+                for first in range(0, len(rows), PRODUCT_ROWS):
+                    # Rounded, so equal vectors tie whatever cell they came in.
+                    scores = np.round(some @ rows[first : first + PRODUCT_ROWS].T, 12)
+                    if scores.shape[1] > k:
+                        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                        at, column = np.nonzero(scores >= floor[:, None])
+                    else:
+                        at, column = np.nonzero(np.ones_like(scores, dtype=bool))
+                    new = (at + start, row_ids[first + column], scores[at, column])
+                    own = _best(*(np.concatenate(pair) for pair in zip(own, new)), k)
+                parts.append(own)
+            held = tuple(np.concatenate(columns) for columns in zip(*parts))
+        at, keys, scores = held
+        columns = [pa.array(query_ids[at], pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.float64())]
+        return pa.Table.from_arrays(columns, ["query_id", "hit_id", "score"])
+
+    return run
+
+
+def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id and v of the rows whose vector is there and has no missing element."""
+    whole = F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull())
+    return rows.where(whole).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
+
+
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows and elements of the widest vector."""
+    count, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    return int(count), int(width or 0)
+
+
+def _blocks(count: int, width: int, cell_values: int) -> int:
+    return max(1, -(-count * width // cell_values))
+
+
+def _every(number: int | Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(number) - 1))
+
+
+def _own(blocks: int | Column) -> Column:
+    """The block of a row, by its id."""
+    return F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    window = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("hit_id").asc())
+    ranked = hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "hit_id", "score")
+
+
+def _checked(k: int, metric: str) -> None:
+    if not 1 <= k <= MAX_K:
+        raise ValueError(f"k must lie between 1 and {MAX_K}")
+    if metric not in ("cosine", "dot"):
+        raise ValueError("metric must be cosine or dot")
 
 
 def vector_topk(
@@ -82,39 +122,117 @@ def vector_topk(
     vector_col: str = "embedding",
     metric: str = "cosine",
     where=None,
-    block_values: int = BLOCK_VALUES,
+    cell_values: int = CELL_VALUES,
 ) -> DataFrame:
-    """The k most similar corpus rows of every query: ``query_id, rank, hit_id, score``.
+    """The k most similar corpus rows of every query, exactly: ``query_id, rank, hit_id, score``.
 
-    The corpus is read once per block of queries and never shuffled: each task scores its
-    rows against the broadcast queries by matrix products and passes on only its k best
-    per query. ``where`` filters the corpus before scoring. The shuffle that ranks the
-    survivors carries at most tasks x queries x k rows, cut to k per query on the map side.
+    Both sides are cut into blocks of ``cell_values`` elements by a hash of the id, and every pair of blocks is a cell,
+    scored by matrix products in a task of its own. A query row goes to as many cells as the corpus has blocks, a
+    corpus row to as many as the queries have; with one block of queries the corpus moves once. Each cell passes on its
+    k best rows per query, and a second ranking merges them. No row passes through the driver.
+
+    ``where`` filters the corpus before scoring. Vectors that are missing, have missing elements or another size than
+    the queries' match nothing. Zero vectors score 0 by cosine.
     """
-    if not 1 <= k <= MAX_K:
-        raise ValueError(f"k must lie between 1 and {MAX_K}")
-    if metric not in ("cosine", "dot"):
-        raise ValueError("metric must be cosine or dot")
-    spark = corpus.sparkSession
-    if where is not None:
-        corpus = corpus.where(where)
-    rows = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint"), vector_col)
-    wanted = queries.where(F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("bigint").alias("q"), F.col(vector_col).alias("v")
-    )
-    count, width = wanted.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    blocks = max(1, -(-int(count) * int(width or 0) // block_values))
-    if blocks == 1:
-        block = wanted.collect()
-        hits = _block_hits(block, rows, k, metric) if block else spark.createDataFrame([], _HITS)
-    else:
-        # About block_values numbers are on the driver at a time; each block's survivors are written out.
-        path = scratch(spark, "vector-topk")
-        for number in range(blocks):
-            block = wanted.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == number).collect()
-            if block:
-                _block_hits(block, rows, k, metric).write.mode("append").parquet(path)
-        hits = spark.read.schema(_HITS).parquet(path)
-    window = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("hit_id").asc())
-    ranked = hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "hit_id", "score")
+    _checked(k, metric)
+    corpus = corpus if where is None else corpus.where(where)
+    wanted, rows = _vectors(queries, id_col, vector_col), _vectors(corpus, id_col, vector_col)
+    count, width = _sizes(wanted)
+    wanted, rows = (side.where(F.size("v") == width) for side in (wanted, rows))
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    across = _blocks(count, width, cell_values)
+    down = max(_blocks(rows.count(), width, cell_values), -(-cores // across))
+    left = wanted.select("id", "v", _own(across).alias("a"), _every(down).alias("b"))
+    right = rows.select("id", "v", _every(across).alias("a"), _own(down).alias("b"))
+    cells = left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
+    return _ranked(cells.applyInArrow(_cell(k, metric, width), _HITS), k)
+
+
+def _planes(tables: int, bits: int, width: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(width, tables * bits))
+
+
+def _bucketed(rows: DataFrame, planes: np.ndarray, tables: int, bits: int, probes: int, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns, table and bucket of every row: its own bucket of each table and the ``probes`` - 1 next ones.
+
+    The next ones flip the bits whose projections lie nearest to zero, by the sum of their squares.
+    """
+    flips = [f for n in range(_MAX_FLIPS + 1) for f in combinations(range(bits), n)]
+    masks = np.array([sum(1 << i for i in f) for f in flips], np.int64)
+    chosen = np.array([[i in f for i in range(bits)] for f in flips], float)
+    probes = min(probes, len(flips))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = _matrix(batch.column("v"), planes.shape[0]) @ planes
+            for table in range(tables):
+                part = found[:, table * bits : (table + 1) * bits]
+                own = (part > 0) @ (1 << np.arange(bits))
+                cost = part**2 @ chosen.T
+                best = np.argpartition(cost, probes - 1, axis=1)[:, :probes] if probes < len(flips) else np.arange(len(flips))[None].repeat(len(part), 0)
+                bucket = (own[:, None] ^ masks[best]).ravel()
+                at = np.repeat(np.arange(len(part)), probes)
+                columns = [batch.column(c).take(pa.array(at)) for c in keep]
+                columns += [pa.array(np.full(len(at), table, np.int32)), pa.array(bucket.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "table", "bucket"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", table int, bucket int")
+
+
+def vector_topk_lsh(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int = 4,
+    *,
+    tables: int = TABLES,
+    bits: int = BITS,
+    probes: int = PROBES,
+    seed: int = 7,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    metric: str = "cosine",
+    where=None,
+    cell_values: int = CELL_VALUES,
+) -> DataFrame:
+    """Approximate ``vector_topk``: only rows that share a bucket with a query are scored, and those exactly.
+
+    Each of ``tables`` hash tables gives a vector ``bits`` signs of random projections; a query also looks into the
+    ``probes`` - 1 buckets it most nearly falls in. A bucket is a cell like those of ``vector_topk``: one with more than
+    ``cell_values`` elements on a side is cut into blocks, each pair of blocks a task, so a bucket that holds a third of
+    all vectors is not one task. Bucket sizes are at most ``tables`` x 2^``bits`` rows. Missing and odd-sized vectors
+    match nothing. Measure with ``recall`` before use: near-uniform vectors need few bits and many probes.
+    """
+    _checked(k, metric)
+    if not 1 <= bits <= _MAX_BITS:
+        raise ValueError(f"bits must lie between 1 and {_MAX_BITS}")
+    corpus = corpus if where is None else corpus.where(where)
+    wanted, rows = _vectors(queries, id_col, vector_col), _vectors(corpus, id_col, vector_col)
+    _, width = _sizes(wanted)
+    wanted, rows = (side.where(F.size("v") == width) for side in (wanted, rows))
+    planes = _planes(tables, bits, width, seed)
+    bucket = ("table", "bucket")
+
+    def blocks(side: DataFrame, number: int, name: str) -> DataFrame:
+        """Blocks of every bucket that the side has; the sizes need no vectors."""
+        sized = _bucketed(side, planes, tables, bits, number, ("id",)).groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
+        return sized.select(*bucket, F.ceil(F.col("n") * width / cell_values).cast("int").alias(name))
+
+    sizes = F.broadcast(blocks(wanted, probes, "across").join(blocks(rows, 1, "down"), list(bucket)))
+    left = _bucketed(wanted, planes, tables, bits, probes, ("id", "v")).join(sizes, list(bucket))
+    left = left.select(*bucket, "id", "v", _own(F.col("across")).alias("a"), _every(F.col("down")).alias("b"))
+    right = _bucketed(rows, planes, tables, bits, 1, ("id", "v")).join(sizes, list(bucket))
+    right = right.select(*bucket, "id", "v", _every(F.col("across")).alias("a"), _own(F.col("down")).alias("b"))
+    cells = left.groupBy(*bucket, "a", "b").cogroup(right.groupBy(*bucket, "a", "b"))
+    hits = cells.applyInArrow(_cell(k, metric, width), _HITS)
+    return _ranked(hits.groupBy("query_id", "hit_id").agg(F.max("score").alias("score")), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: exact hits, those of them that ``found`` has, and their share (null without exact hits)."""
+    pair = ["query_id", "hit_id"]
+    both = exact.select(*pair).join(found.select(*pair, F.lit(1).alias("_hit")), pair, "left")
+    counted = both.agg(F.count(F.lit(1)).alias("exact_hits"), F.count("_hit").alias("found_hits"))
+    return counted.withColumn("recall", F.col("found_hits") / F.nullif("exact_hits", F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import documents, tables
-from millrace.operators.vectors import vector_topk
+from millrace.operators.vectors import recall, vector_topk, vector_topk_lsh
 from millrace.session import scratch
 from testbed import inputs
 from testbed.catalogue import add
@@ -105,7 +105,22 @@ REBUILT = (
 def topk(spark, sf, **options):
     """Every vector as a query against all vectors."""
     vectors = inputs.table(spark, sf, "embeddings")
-    return vector_topk(vectors, inputs.spread(vectors), **options)
+    return vector_topk(vectors, vectors, **options)
+
+
+# Near-uniform vectors: few bits, several probes.
+LSH = {"tables": 8, "bits": 8, "probes": 24}
+
+
+def topk_lsh(spark, sf):
+    """The same through buckets of random projections."""
+    vectors = inputs.table(spark, sf, "embeddings")
+    return vector_topk_lsh(vectors, vectors, **LSH)
+
+
+def lsh_recall(spark, sf):
+    """What the buckets find of the exact hits."""
+    return recall(topk_lsh(spark, sf), topk(spark, sf))
 
 
 def _topk_sql(k: int, where: str = "true", measure: str = "list_cosine_similarity") -> str:
@@ -170,9 +185,11 @@ def register() -> None:
     )
     add(
         "vector_topk_blocks",
-        lambda s, sf: present(topk(s, sf, k=10, metric="dot", block_values=8000), ranked),
+        lambda s, sf: present(topk(s, sf, k=10, metric="dot", cell_values=8000), ranked),
         shown(_topk_sql(10, measure="list_inner_product"), ranked),
     )
+    add("vector_topk_lsh", lambda s, sf: present(topk_lsh(s, sf), ranked))
+    add("vector_lsh_recall", lsh_recall)
     sources = "query_id ref:n source excerpt chunk_index:n extraction_method"
     add("retrieval_sources", lambda s, sf: present(documents.retrieval_sources(hits(s, sf)), sources), shown(SOURCES, sources))
     add("context_assembly", lambda s, sf: documents.context_assembly(hits(s, sf)), CONTEXT)

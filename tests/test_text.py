@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import documents
-from millrace.operators.vectors import vector_topk
+from millrace.operators.vectors import recall, vector_topk, vector_topk_lsh
 
 
 def expected_chunks(text, size=512, overlap=50):
@@ -132,14 +132,14 @@ def brute_topk(queries, corpus, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot"])
-@pytest.mark.parametrize("block_values", [1 << 20, 30])
-def test_topk_equals_brute_force(spark, metric, block_values):
+@pytest.mark.parametrize("cell_values", [1 << 20, 30, 9])
+def test_topk_equals_brute_force(spark, metric, cell_values):
     rng = random.Random(5)
     # Few distinct small integers give many exact ties; some vectors are zero.
     vector = lambda: [float(rng.randint(-1, 1)) for _ in range(3)]
     corpus, queries = [(i, vector()) for i in range(200)], [(1000 + i, vector()) for i in range(25)]
     schema = "vec_id bigint, embedding array<float>"
-    got = vector_topk(spark.createDataFrame(queries, schema), spark.createDataFrame(corpus, schema).repartition(5), 4, metric=metric, block_values=block_values)
+    got = vector_topk(spark.createDataFrame(queries, schema), spark.createDataFrame(corpus, schema).repartition(5), 4, metric=metric, cell_values=cell_values)
     ranked = {}
     for row in got.orderBy("query_id", "rank").collect():
         ranked.setdefault(row["query_id"], []).append(row["hit_id"])
@@ -156,6 +156,52 @@ def test_topk_with_filter_and_small_corpus(spark):
         vector_topk(df, df, 11)
 
 
+def test_vectors_of_other_sizes_and_with_gaps_match_nothing(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, None]), (4, []), (5, None), (6, [0.0, 0.0])], schema)
+    for found in (vector_topk(df.where("vec_id = 1"), df, 4), vector_topk_lsh(df.where("vec_id = 1"), df, 4, bits=1, probes=2)):
+        assert [(r["hit_id"], r["score"]) for r in found.orderBy("rank").collect()] == [(1, 1.0), (6, 0.0)]
+    assert vector_topk_lsh(df.where("vec_id = 5"), df, 4).count() == 0
+
+
+def test_queries_and_corpus_stay_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id bigint, embedding array<float>")
+    collect = DataFrame.collect
+
+    def one_row(self):
+        rows = collect(self)
+        assert len(rows) <= 1
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", one_row)
+    for search in (vector_topk, vector_topk_lsh):
+        assert "FlatMapCoGroupsInArrow" in search(df, df, 1)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cell_values", [1 << 20, 200])
+def test_lsh_finds_most_neighbours(spark, cell_values):
+    """Clustered vectors, a third of them equal: hot buckets are cut into blocks and nothing is lost by that."""
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    rows = [(i, [x + rng.gauss(0, 0.2) for x in centres[i % 20]] if i % 3 else centres[0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    queries = df.where("vec_id % 10 = 0")
+    exact = vector_topk(queries, df, 4)
+    found = vector_topk_lsh(queries, df, 4, tables=6, bits=8, probes=12, cell_values=cell_values)
+    best = recall(found, exact).first()
+    assert best["exact_hits"] == 160 and best["recall"] >= 0.9
+    # Whatever is found has its exact score.
+    both = found.withColumnRenamed("score", "s").join(vector_topk(queries, df, 10), ["query_id", "hit_id"])
+    assert both.where("abs(s - score) > 1e-9").count() == 0
+
+
+def test_recall_without_hits(spark):
+    none = spark.createDataFrame([], "query_id bigint, hit_id bigint")
+    assert tuple(recall(none, none).first()) == (0, 0, None)
+
+
 def test_topk_has_no_product_of_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     plan = vector_topk(df, df, 1)._jdf.queryExecution().executedPlan().toString()
