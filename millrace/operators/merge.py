@@ -50,7 +50,11 @@ def incremental_filter(source: DataFrame, target: DataFrame | None, ts_col: str)
     The bound is fetched first (one row) and used as a literal, so the parquet reader
     can skip row groups by it; a join with the bound could not be pushed down.
     """
-    bound = target.agg(F.max(ts_col)).first()[0] if target is not None else None
+    return from_bound(source, target.agg(F.max(ts_col)).first()[0] if target is not None else None, ts_col)
+
+
+def from_bound(source: DataFrame, bound: dt.datetime | None, ts_col: str) -> DataFrame:
+    """Source rows at or after a known bound (``days.newest_value`` finds it without scanning the target)."""
     return source.where(F.col(ts_col) >= F.lit(bound or dt.datetime(1900, 1, 1)))
 
 

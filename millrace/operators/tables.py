@@ -3,7 +3,8 @@
 Bronze is appended to. Silver and gold are rebuilt into a fresh version folder
 ``<root>/<layer>.db/<table>/at=<time>``; a version counts once Spark has put its
 _SUCCESS marker there, so a reader never sees half a table and an executor lost
-during the write costs nothing but a retry.
+during the write costs nothing but a retry. Tables that are updated day by day are
+in ``days``.
 """
 
 from __future__ import annotations
@@ -11,13 +12,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.merge import has_key, merge_by_key
-from millrace.operators.dedup import keep_latest
-
 LAYERS = ("bronze", "silver", "gold")
 _STAMP = "%Y%m%dT%H%M%S%f"
 
@@ -91,54 +89,6 @@ def dual_land(df: DataFrame, demo_path: str, main_path: str) -> DataFrame:
     ).withColumn("rows_after", F.lit(spark.read.parquet(main_path).count()).cast("bigint"))
 
 
-def _on_days(day_col: str, days: set) -> Column:
-    """Rows of the given days; None stands for rows without a day."""
-    found = F.col(day_col).isin([d for d in days if d is not None])
-    return F.coalesce(found, F.lit(False)) | (F.col(day_col).isNull() if None in days else F.lit(False))
-
-
-def merge_into_days(
-    spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], day_col: str, latest_by: Sequence[str] = ()
-) -> None:
-    """Insert-or-update into a table partitioned by ``day_col``, rewriting only the days concerned.
-
-    Rows without a day form a day of their own. Columns that only one side has are kept, NULL
-    for the other side's rows. Rows without a full key are added unless stored as they are.
-    A day is concerned when an update lies in it or when it holds the old version of an
-    updated key. Running the same merge again gives the same table, so an interrupted
-    run is repaired by repeating it.
-    """
-    keys = list(keys)
-    latest = keep_latest(updates.where(has_key(keys)), keys, latest_by).unionByName(updates.where(~has_key(keys)))
-    if not exists(spark, path):
-        write_layer_table(latest, path, [day_col])
-        return
-    latest = latest.persist()
-    try:
-        new_keys, new_days = latest.select(*keys), latest.select(day_col).distinct()
-        target = spark.read.option("mergeSchema", "true").parquet(path)
-        target = target.withColumn(day_col, F.col(day_col).cast(latest.schema[day_col].dataType))
-        # Calendar days, so both lists are short; as literals they prune the partitions that are read.
-        filled = {row[0] for row in new_days.collect()}
-        left = {row[0] for row in target.join(new_keys, keys, "left_semi").select(day_col).distinct().collect()} - filled
-        concerned = target.where(_on_days(day_col, filled | left))
-        # Rows without key replace nothing; those already stored as they are do not come a second time.
-        shared = [c for c in latest.columns if c in target.columns]
-        stored = concerned.where(~has_key(keys)).select(F.xxhash64(*shared).alias("_mark")).distinct()
-        unkeyed = latest.where(~has_key(keys)).withColumn("_mark", F.xxhash64(*shared)).join(stored, "_mark", "left_anti")
-        merged = merge_by_key(concerned, latest.where(has_key(keys)), keys).unionByName(unkeyed.drop("_mark"), allowMissingColumns=True)
-        writer = _writer(merged, "overwrite", [day_col], True)
-        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-        if left:
-            # A day whose rows all moved away got no new files; its old ones hold replaced keys only.
-            still = spark.read.parquet(path).where(_on_days(day_col, left)).join(new_keys, keys, "left_anti")
-            for day in left - {row[0] for row in still.select(day_col).distinct().collect()}:
-                fs, p = _path(spark, f"{path}/{day_col}={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
-                fs.delete(p, True)
-    finally:
-        latest.unpersist()
-
-
 # --- versioned tables --------------------------------------------------------------------------------
 
 

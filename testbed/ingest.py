@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from millrace.operators import merge, quality, tables
+from millrace.operators import days, merge, quality, tables
 from millrace.operators.dedup import dedup_latest
 from millrace.plans import bronze, schemas, serving
 from millrace.plans.suites import SUITES
@@ -243,9 +243,11 @@ def dual_land(spark, sf):
 
 
 def incremental_filter(spark, sf):
-    rows = mes_bronze(spark, sf)
-    target = rows.where(F.col("event_ts") < F.lit(dt.datetime(2024, 1, 20)))
-    return present(merge.incremental_filter(rows, target, "event_ts"), "event_id event_ts:ts status")
+    """The bound comes from the newest day of the target, the only one that is read."""
+    rows, path = mes_bronze(spark, sf), scratch(spark, "target")
+    target = rows.where(F.col("event_ts") < F.lit(dt.datetime(2024, 1, 20))).withColumn("event_date", F.to_date("event_ts"))
+    days.append_days(spark, path, target, "event_date")
+    return present(merge.from_bound(rows, days.newest_value(spark, path, "event_ts"), "event_ts"), "event_id event_ts:ts status")
 
 
 def _split_for_merge(spark, sf):
@@ -280,14 +282,14 @@ def partition_merge(spark, sf):
     rows = mes_bronze(spark, sf).select("event_id", "machine_id", "status", "event_ts")
     number = F.regexp_extract("event_id", "([0-9]+)$", 1).cast("bigint")
     dated = rows.withColumn("event_date", F.to_date("event_ts"))
-    tables.merge_into_days(spark, path, dated.where(number % 5 != 0), ["event_id"], "event_date", ["event_ts"])
+    days.merge_days(spark, path, dated.where(number % 5 != 0), ["event_id"], "event_date", ["event_ts"])
     moved = rows.where(number % 5 == 0).withColumn("event_ts", F.col("event_ts") + F.expr("interval 1 day"))
     fixed = rows.where(number % 10 == 3).withColumn("status", F.lit("FIXED"))
     later = rows.where(number % 10 == 7).withColumn("event_ts", F.col("event_ts") + F.expr("interval 3 day"))
     updates = moved.unionByName(fixed).unionByName(later).withColumn("event_date", F.to_date("event_ts"))
     for _ in range(2):  # repeating the merge changes nothing
-        tables.merge_into_days(spark, path, updates, ["event_id"], "event_date", ["event_ts"])
-    return present(spark.read.parquet(path), "event_id machine_id status event_ts:ts event_date:d")
+        days.merge_days(spark, path, updates, ["event_id"], "event_date", ["event_ts"])
+    return present(days.read_days(spark, path), "event_id machine_id status event_ts:ts event_date:d")
 
 
 PARTITION_MERGE = """(select event_id, machine_id, case when n % 10 = 3 then 'FIXED' else status end as status, moved as event_ts,

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import quality, tables
+from millrace.operators import days, quality, tables
 from millrace.plans import bronze, gold, registry, schemas, silver
 from millrace.plans.pipeline import in_order, run_pipeline, update_incremental
 from millrace.session import scratch
@@ -334,6 +334,6 @@ def test_incremental_update(spark):
         "mes_events": mes(spark, {"event_ts": T(2023, 12, 31)}, {"event_ts": T(2024, 1, 2), "status": "fail"}, {"event_ts": T(2024, 1, 5)})
     }
     update_incremental(spark, path, "silver_mes_events", later, context)
-    got = {r["event_id"]: (r["event_ts"], r["status"]) for r in spark.read.parquet(path).collect()}
+    got = {r["event_id"]: (r["event_ts"], r["status"]) for r in days.read_days(spark, path).collect()}
     # The first event is older than the newest stored one, so its late change is not picked up.
     assert got == {"E0": (T(2024, 1, 1, 10), "PASS"), "E1": (T(2024, 1, 2), "FAIL"), "E2": (T(2024, 1, 5), "PASS")}

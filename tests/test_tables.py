@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import merge, tables
+from millrace.operators import days, merge, tables
 from millrace.plans import bronze, schemas
 from millrace.session import scratch, shared_root
 
@@ -53,11 +53,11 @@ def test_days_that_lose_their_last_row_disappear(spark):
     path = scratch(spark, "days")
     day = lambda n: dt.date(2024, 1, n)
     first = spark.createDataFrame([("a", day(1), 1), ("b", day(2), 1), ("c", day(2), 1)], "k string, d date, v int")
-    tables.merge_into_days(spark, path, first, ["k"], "d")
+    days.merge_days(spark, path, first, ["k"], "d")
     moved = spark.createDataFrame([("a", day(3), 2), ("b", day(2), 2)], "k string, d date, v int")
     for _ in range(2):
-        tables.merge_into_days(spark, path, moved, ["k"], "d")
-        got = rows_of(spark.read.parquet(path).select("k", "d", "v"))
+        days.merge_days(spark, path, moved, ["k"], "d")
+        got = rows_of(days.read_days(spark, path).select("k", "d", "v"))
         assert got == [("a", day(3), 2), ("b", day(2), 2), ("c", day(2), 1)]
 
 
@@ -133,12 +133,12 @@ def test_rows_without_key_pass_the_anti_join_and_the_latest_version_wins(spark):
 def test_merge_into_days_loses_no_row_and_no_column(spark, tmp_path):
     path = str(tmp_path / "t")
     first = [("a", 1, "x", None), ("b", 2, "y", None), (None, 3, "z", "2024-01-01"), ("c", 4, "w", "2024-01-01")]
-    tables.merge_into_days(spark, path, spark.createDataFrame(first, "k string, v long, note string, d string").withColumn("d", F.col("d").cast("date")), ["k"], "d")
+    days.merge_days(spark, path, spark.createDataFrame(first, "k string, v long, note string, d string").withColumn("d", F.col("d").cast("date")), ["k"], "d")
     more = [("b", 20, 7, None), (None, 5, 8, "2024-01-01")]
     updates = spark.createDataFrame(more, "k string, v long, extra long, d string").withColumn("d", F.col("d").cast("date"))
     for _ in range(2):
-        tables.merge_into_days(spark, path, updates, ["k"], "d")
-        got = spark.read.option("mergeSchema", "true").parquet(path).select("k", "v", "note", "extra").collect()
+        days.merge_days(spark, path, updates, ["k"], "d")
+        got = days.read_days(spark, path).select("k", "v", "note", "extra").collect()
         assert sorted(map(str, map(tuple, got))) == sorted(
             map(str, [("a", 1, "x", None), ("b", 20, None, 7), (None, 3, "z", None), ("c", 4, "w", None), (None, 5, None, 8)])
         )
