@@ -174,9 +174,12 @@ def merge_days(
     day_col: str,
     latest_by: Sequence[str] = (),
     at: dt.datetime | None = None,
+    newest_wins: bool = False,
 ) -> State:
     """Insert-or-update: the latest update of a key takes the place of its row, whatever day that lay in.
 
+    With ``newest_wins`` a stored row stays if it comes after the update by ``latest_by``, so late updates undo nothing.
+
     Only days with updates, or with an old version of an updated key, are rewritten. Rows without a day form a day of
     their own. Columns that only one side has are kept, NULL for the other side's rows. Rows without a full key replace
     nothing; they are added unless a row with the same values, NULLs included, is stored already. Running a merge again
@@ -192,6 +195,10 @@ def merge_days(
         for c in (c for c in new.columns if c not in old.columns):
             same = same & F.col(f"u.{c}").isNull()
         added = unkeyed.join(stored, same, "left_anti")
+        if newest_wins:
+            both = old.where(has_key(keys)).unionByName(latest, allowMissingColumns=True)
+            rest = old.where(~has_key(keys)).unionByName(added, allowMissingColumns=True)
+            return keep_latest(both, keys, latest_by).unionByName(rest, allowMissingColumns=True)
         return merge_by_key(old, latest, keys).unionByName(added, allowMissingColumns=True)
 
     def moved_from(table: DataFrame) -> set[str]:

@@ -38,9 +38,5 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 
 def dedup_latest(df: DataFrame, keys: Sequence[str], latest_by: Sequence[Column | str] = ()) -> DataFrame:
-    """Bronze de-duplication: latest row per key, any row when no order is given, all rows without keys."""
-    if not keys:
-        return df
-    if not latest_by:
-        return df.dropDuplicates(list(keys))
-    return keep_latest(df, keys, latest_by)
+    """Bronze de-duplication: latest row per key; a hash of the row decides where the order does not. All rows without keys."""
+    return keep_latest(df, keys, latest_by) if keys else df

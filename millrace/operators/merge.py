@@ -34,14 +34,15 @@ def anti_join_existing(
         return fresh.unionByName(unkeyed)
     # First which of the new keys are stored: that side of a semi join may be broadcast, so a long
     # table is scanned for its key columns but not shuffled for the sake of a short batch.
-    known = existing.select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
+    known = existing.select(*keys).join(rows.select(*keys), keys, "left_semi").distinct()
     # A join on named keys moves them to the front; the table's column order is kept.
     return fresh.join(known, keys, "left_anti").select(*rows.columns).unionByName(unkeyed)
 
 
-def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Target plus the rows whose key it does not hold; the first version of a key stays."""
-    return target.unionByName(anti_join_existing(rows, target, keys), allowMissingColumns=True)
+def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str], latest_by: Sequence[str] = ()) -> DataFrame:
+    """Target plus the rows whose key it does not hold. A stored version of a key stays; of several new ones the latest
+    by ``latest_by`` is taken."""
+    return target.unionByName(anti_join_existing(rows, target, keys, latest_by), allowMissingColumns=True)
 
 
 def incremental_filter(source: DataFrame, target: DataFrame | None, ts_col: str) -> DataFrame:

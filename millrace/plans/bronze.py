@@ -75,19 +75,23 @@ def raw_envelope(records: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def project_training(records: DataFrame, now: Column) -> DataFrame:
-    """Training records as text columns; the message key stands in for a missing record id."""
-    parsed = with_json_fields(records.select("key", "value"), F.col("value").cast("string"), schemas.TMS_FIELDS)
+def project_training(records: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Training records as text columns; the message key stands in for a missing record id. ``keep``: record columns."""
+    parsed = with_json_fields(records.select("key", "value", *keep), F.col("value").cast("string"), schemas.TMS_FIELDS)
     return parsed.select(
         F.coalesce("record_id", F.col("key").cast("string")).alias("record_id"),
         *schemas.TMS_FIELDS[1:],
         F.lit("TMS").alias("_source"),
         now.alias("_ingested_at"),
+        *keep,
     ).where(F.col("record_id").isNotNull())
 
 
-def project_inventory(records: DataFrame, now: Column) -> DataFrame:
-    """Inventory movements in the shape of purchase orders; the fractional quantity is cut to whole units."""
+def project_inventory(records: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Inventory movements in the shape of purchase orders; the fractional quantity is cut to whole units.
+
+    ``keep``: record columns.
+    """
     names = [
         "document_number",
         "material_code",
@@ -99,7 +103,7 @@ def project_inventory(records: DataFrame, now: Column) -> DataFrame:
         "movement_type",
         "valuation_amount_inr",
     ]
-    parsed = with_json_fields(records.select("value"), F.col("value").cast("string"), names)
+    parsed = with_json_fields(records.select("value", *keep), F.col("value").cast("string"), names)
     quantity = F.col("quantity").try_cast("double").try_cast("int")
     return parsed.select(
         F.col("document_number").alias("po_number"),
@@ -116,16 +120,18 @@ def project_inventory(records: DataFrame, now: Column) -> DataFrame:
         F.lit("SAP_ECC_KAFKA").alias("_source"),
         now.alias("_ingested_at"),
         F.lit("kafka_bronze_ingest").alias("_nifi_flow"),
+        *keep,
     ).where(F.col("po_number").isNotNull())
 
 
-def project_topic(topic: str, records: DataFrame, now: Column) -> DataFrame:
-    """The bronze rows a topic's records turn into."""
+def project_topic(topic: str, records: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The bronze rows a topic's records turn into. ``keep``: record columns that keyed rows carry on (raw rows hold
+    the offset anyway)."""
     table = schemas.topic_table(topic)
     if table == "tms_training_completions":
-        return project_training(records, now)
+        return project_training(records, now, keep)
     if table == "sap_ecc_orders":
-        return project_inventory(records, now)
+        return project_inventory(records, now, keep)
     return raw_envelope(records, now)
 
 

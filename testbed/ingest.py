@@ -11,7 +11,8 @@ from millrace.operators.dedup import dedup_latest
 from millrace.plans import bronze, schemas, serving
 from millrace.plans.suites import SUITES
 from millrace.session import scratch
-from millrace.sources import cdc, files, kafka
+from millrace.sources import cdc, files, kafka, offsets
+from millrace.streaming import jobs
 from testbed import inputs
 from testbed.catalogue import add
 from testbed.columns import present, shown
@@ -214,6 +215,55 @@ def anti_join_existing(spark, sf):
     return merge.anti_join_existing(rows, stored, schemas.RAW_KEYS).select("_row_hash", "_kafka_offset", "_kafka_key")
 
 
+def _training_versions(spark, sf):
+    """Training records, every third one a second time with another status and a later offset; a tenth is stored before."""
+    records = inputs.spark_input(spark, sf, "kafka_tms_training")
+    later = records.where("offset % 3 = 0").withColumns(
+        {
+            "value": F.regexp_replace(F.col("value").cast("string"), '"status": *"[^"]*"', '"status": "REVISED"').cast("binary"),
+            "offset": F.col("offset") + 1_000_000_000,
+        }
+    )
+    return records.unionByName(later)
+
+
+def anti_join_latest(spark, sf):
+    """Keyed records into bronze in two batches: of several new versions the newest is stored, a stored one stays."""
+    records, root = _training_versions(spark, sf), scratch(spark, "lake")
+    for batch in (records.where("offset % 10 = 0 and offset < 1000000000"), records):
+        jobs.land_records(batch.select(*schemas.KAFKA_RECORD.fieldNames()), root, inputs.now())
+    table = spark.read.parquet(tables.table_path(root, "bronze", "tms_training_completions"))
+    return table.select("record_id", "employee_id", "status")
+
+
+LATEST = f"""select record_id, employee_id, case when n % 3 = 0 and n % 10 <> 0 then 'REVISED' else status end as status
+    from (select *, cast(regexp_extract(record_id, '([0-9]+)$', 1) as bigint) as n from b_tms_training)"""
+
+
+def ingest_offsets(spark, sf):
+    """Three runs over growing record files: a topic from its start, then with a partition and a topic that are new
+    (which starts at its newest record), then without anything new. The ranges of the second run and what is stored."""
+    root, names = scratch(spark, "lake"), ("kafka_mes_production_orders", "kafka_trackwise_capas")
+    records = kafka.read_record_files(spark, record_files(spark, sf, *names))
+    topics = ("mes.production_orders", "trackwise.capas")
+    first = records.where("topic = 'mes.production_orders' and partition < 2 and offset < 20000")
+    offsets.ingest_topics(spark, first, root, topics, dt.datetime(2024, 2, 1), bootstrap=True, now=inputs.now())
+    found = offsets.ingest_topics(spark, records, root, topics, dt.datetime(2024, 2, 2), now=inputs.now())
+    offsets.ingest_topics(spark, records, root, topics, dt.datetime(2024, 2, 3), now=inputs.now())
+    stored = spark.read.parquet(tables.table_path(root, "bronze", "mes_production_orders"))
+    total = stored.agg(F.count(F.lit(1)).alias("start_offset")).select(
+        F.lit("stored").alias("topic"), F.lit(None).cast("int").alias("partition"), "start_offset", F.lit(None).cast("long").alias("end_offset")
+    )
+    return found.unionByName(total)
+
+
+OFFSETS = """select topic, partition, case when topic = 'trackwise.capas' then max("offset") + 1 when partition = 2 then 0
+            else max("offset") filter (where "offset" < 20000) + 1 end as start_offset, max("offset") + 1 as end_offset
+        from (select topic, partition, "offset" from kafka_mes_production_orders union all select topic, partition, "offset" from kafka_trackwise_capas)
+        group by topic, partition
+    union all select 'stored', null, (select count(*) from (select distinct _row_hash, _kafka_offset from b_mes_production_orders)), null"""
+
+
 def dedup(spark, sf):
     raw = inputs.spark_input(spark, sf, "raw_sap_ecc_orders")
     return present(dedup_latest(raw, ["po_number"], ["posting_date", "total_cost"]), " ".join(SAP_COLUMNS.split()[:11]))
@@ -362,6 +412,8 @@ def register() -> None:
     )
     add("append_layer_table", append_layer_table, shown("b_iqms_orders", COLUMNS["bronze_iqms_orders"]))
     add("ensure_tables", ensure_tables, statement(ENSURED))
+    add("anti_join_latest", anti_join_latest, statement(LATEST))
+    add("ingest_offsets", ingest_offsets, statement(OFFSETS))
     add("cdc_unwrap", lambda s, sf: present(cdc_rows(s, sf)[0], CDC_COLUMNS), shown(CDC_SQL, CDC_COLUMNS))
     add(
         "cdc_dead_letters",
