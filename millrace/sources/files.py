@@ -51,7 +51,7 @@ def file_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", "length", "modificationTime")
+        .select(F.col("_metadata.file_path").alias("path"), "length", "modificationTime")
     )
 
 
@@ -62,6 +62,22 @@ def changed_files(listing: DataFrame, manifest: DataFrame | None) -> DataFrame:
     return listing.join(manifest, ["path", "length", "modificationTime"], "left_anti")
 
 
+def rows_of_changed_files(scan: DataFrame, manifest: DataFrame | None) -> DataFrame:
+    """Rows of a file scan whose file is new or differs from the manifest's entry (path, length, modificationTime).
+
+    Files are told apart by the scan's own metadata columns, so no list of paths is drawn up anywhere.
+    """
+    if manifest is None:
+        return scan
+    marked = scan.select("*", F.col("_metadata").alias("_file"))
+    known = (
+        (F.col("_file.file_path") == manifest["path"])
+        & (F.col("_file.file_size") == manifest["length"])
+        & (F.col("_file.file_modification_time") == manifest["modificationTime"])
+    )
+    return marked.join(manifest, known, "left_anti").select(*scan.columns)
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists(spark, path) else None
 

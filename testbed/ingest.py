@@ -169,10 +169,7 @@ def changed_files(spark, sf):
     manifest = scratch(spark, "manifest")
     files.file_listing(spark, path, "*.parquet").write.parquet(manifest)
     events.where("event_type in ('error', 'click')").write.mode("append").partitionBy("event_type").parquet(path)
-    changed = files.changed_files(files.file_listing(spark, path, "*.parquet"), files.load_manifest(spark, manifest))
-    # One path per changed file goes to the reader.
-    paths = [row["path"] for row in changed.select("path").collect()]
-    fresh = spark.read.option("basePath", path).parquet(*paths)
+    fresh = files.rows_of_changed_files(spark.read.parquet(path), files.load_manifest(spark, manifest))
     return fresh.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.max("event_id").alias("last_event"))
 
 
