@@ -6,16 +6,17 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from millrace.operators import lineage, quality, secure, tables
-from millrace.plans import registry, serving
-from millrace.plans.suites import IQMS_QUALITY_TESTS, MES_EVENTS, MES_PRODUCTION_ORDERS, SAP_INVENTORY
+from millrace.operators import days, lineage, quality, secure, sketches, tables
+from millrace.plans import pipeline, registry, serving
+from millrace.plans.suites import GATE_SUITES, IQMS_QUALITY_TESTS, MES_EVENTS, MES_PRODUCTION_ORDERS, SAP_INVENTORY
 from millrace.session import scratch
 from testbed import inputs
 from testbed.catalogue import add
 from testbed.columns import present, shown
-from testbed.models import COLUMNS, model, relation, stored, stored_models
+from testbed.models import COLUMNS, LAKE_SQL, all_models, lake, model, relation, stored, stored_models
 from testbed.oracle import statement
 
+_DAYS = [dt.datetime(2024, 1, day, 3) for day in (1, 5, 10, 20, 28, 29, 30)]
 RESULT = "position type column group valid total success"
 
 
@@ -74,10 +75,9 @@ def add_check(key: str, run, oracle: str) -> None:
 
 
 def all_checks(spark, sf):
-    """Every declared test of every silver table."""
-    names = [n for n, m in registry.MODELS.items() if m.layer == "silver"]
-    built = stored_models(spark, sf, *names)
-    results = [quality.run_checks(n, built[n], registry.MODELS[n].checks, built) for n in names]
+    """Every declared test of every silver and gold table."""
+    built = all_models(spark, sf)
+    results = [quality.run_checks(n, built[n], m.checks, built) for n, m in registry.MODELS.items() if m.checks]
     merged = results[0]
     for result in results[1:]:
         merged = merged.unionByName(result)
@@ -102,7 +102,7 @@ def _check_sql(table: str, check: dict) -> str:
 
 
 ALL_CHECKS = " union all ".join(
-    _check_sql(n, c) for n, m in registry.MODELS.items() if m.layer == "silver" for c in m.checks
+    _check_sql(n, c) for n, m in registry.MODELS.items() for c in m.checks
 )
 
 
@@ -145,32 +145,156 @@ SAMPLES = """select 'unique' as sample, 5 as rows, min(po_number) as first from
 
 
 def profile(spark, sf):
-    orders = inputs.bronze_tables(spark, sf)["sap_ecc_orders"].select("po_number", "plant", "planned_qty", "actual_qty", "posting_date")
-    return quality.profile_columns(orders)
+    """Every column of the order lines."""
+    return quality.profile_columns(inputs.bronze_tables(spark, sf)["sap_ecc_orders"])
 
 
 PROFILE = " union all ".join(
     f"select '{c}' as \"column\", count(*) filter (where {c} is null) as null_count, min({c})::varchar as min_value, "
     f"max({c})::varchar as max_value from b_sap_ecc_orders"
-    for c in ("po_number", "plant", "planned_qty", "actual_qty", "posting_date")
+    for c in COLUMNS["bronze_sap_orders"].replace(":", " ").split()
+    if len(c) > 2
 )
 
 
-# --- lineage -------------------------------------------------------------------------------------------
+def kept_results(spark, sf):
+    """A suite's results kept as JSON and read back."""
+    found = quality.run_suite(stored(spark, model(spark, sf, "silver_mes_production_orders"), "orders"), MES_PRODUCTION_ORDERS)
+    return quality.save_results(found, scratch(spark, "results"))
+
+
+_ABOUT = [
+    {"type": quality.UNIQUE, "kwargs": {"column": "event_id", "mostly": 0.9, "approximate": 0.02}},
+    {"type": quality.UNIQUE, "kwargs": {"column": "machine_id", "mostly": 0.9, "approximate": 0.02}},
+    {"type": quality.NOT_NULL, "kwargs": {"column": "batch_id"}},
+]
+
+
+def approximate_suite(spark, sf):
+    """Unique shares from one pass; far enough from the limit for the estimate to settle them."""
+    events = model(spark, sf, "silver_mes_events")
+    return quality.run_suite(events, _ABOUT).select("position", "column", "total", "success")
+
+
+APPROXIMATE = " union all ".join(
+    f"select {i} as position, '{c}' as \"column\", count({c}) as total, count(distinct {c}) >= 0.9 * count({c}) as success from s_mes_events"
+    for i, c in enumerate(("event_id", "machine_id"))
+) + " union all select 2, 'batch_id', count(*), count(*) = count(batch_id) from s_mes_events"
+
+
+def sketched(spark, sf):
+    """Distinct values from sketches kept per day and merged, held against the exact number within 3 %."""
+    events = stored(spark, model(spark, sf, "silver_mes_events").withColumn("event_date", F.to_date("event_ts")), "events")
+    columns = ("event_id", "machine_id", "batch_id")
+    path = scratch(spark, "sketches")
+    for half in (F.dayofmonth("event_ts") % 2 == 0, F.dayofmonth("event_ts") % 2 == 1):
+        sketches.day_sketches(events.where(half), "event_date", columns).write.mode("append").parquet(path)
+    merged = sketches.merged(spark.read.parquet(path))
+    exact = events.agg(*(F.countDistinct(c).alias(c) for c in columns)).select(
+        F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns)))
+    )
+    close = F.abs(F.col("approx_distinct") - F.col("exact")) <= 0.03 * F.col("exact")
+    return merged.join(exact, "column").select("column", "rows", "values", F.when(close, F.col("exact")).alias("distinct"))
 
-_TRACKED = ("silver_mes_events", "silver_production_orders", "silver_quality_events", "gold_batch_summary", "gold_quality_kpis")
-_TRACKED_BRONZE = ("mes_events", "iqms_orders", "sap_ecc_orders", "trackwise_deviations")
 
+SKETCHED = " union all ".join(
+    f"select '{c}' as \"column\", count(*) as rows, count({c}) as values, count(distinct {c}) as distinct from s_mes_events"
+    for c in ("event_id", "machine_id", "batch_id")
+)
+
+
+# --- day tables ----------------------------------------------------------------------------------------
+
+
+def _event_days(spark, sf, path):
+    """Events by day in four changes: three drops and a correction of every fifth event."""
+    events = inputs.bronze_tables(spark, sf)["mes_events"].withColumn("event_date", F.to_date("event_ts"))
+    events = stored(spark, events, "events")
+    number = F.regexp_extract("event_id", "([0-9]+)$", 1).cast("bigint")
+    for i in range(3):
+        days.merge_days(spark, path, events.where(number % 3 == i), ["event_id"], "event_date", ["event_ts"], at=_DAYS[i])
+    fixed = events.where(number % 5 == 0).withColumn("status", F.lit("FIXED"))
+    days.merge_days(spark, path, fixed, ["event_id"], "event_date", ["event_ts"], at=_DAYS[3])
+
+
+def days_as_of(spark, sf):
+    """A day table as it was after each change, read after older states have expired."""
+    path = scratch(spark, "days")
+    _event_days(spark, sf, path)
+    days.expire_days(spark, path, dt.datetime(2024, 2, 1), keep=3)
+    parts = [
+        days.read_days(spark, path, at).agg(
+            F.lit(str(at)).alias("as_of"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "FIXED").alias("fixed")
+        )
+        for at in _DAYS[1:4]
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+DAYS_AS_OF = " union all ".join(
+    f"select '{_at}' as as_of, count(*) as rows, count(*) filter (where {_fixed}) as fixed from "
+    f"(select regexp_extract(event_id, '([0-9]+)$', 1)::bigint as n from b_mes_events) where n % 3 <= {_last}"
+    for _at, _last, _fixed in (("2024-01-05 03:00:00", 1, "false"), ("2024-01-10 03:00:00", 2, "false"), ("2024-01-20 03:00:00", 2, "n % 5 = 0"))
+)
+
+
+def compact_days(spark, sf):
+    """Days written as several small files, then rewritten by what the listing says; the rows stay."""
+    path = scratch(spark, "days")
+    events = stored(spark, inputs.bronze_tables(spark, sf)["mes_events"], "events").withColumn("event_date", F.to_date("event_ts"))
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "16k")
+    try:
+        days.append_days(spark, path, events, "event_date")
+    finally:
+        spark.conf.set(setting, before)
+    days.compact_days(spark, path)
+    left = days.day_files(spark, path).where("files > 1").count()
+    return present(days.read_days(spark, path).withColumn("small_days", F.lit(left)), COLUMNS["bronze_mes_events"] + " small_days")
+
+
+def update_incremental(spark, sf):
+    """An incremental table over two loads: the second brings everything, of which only new days are read and merged."""
+    path, source = scratch(spark, "incremental"), dict(inputs.bronze_tables(spark, sf).items())
+    source["mes_events"] = stored(spark, source["mes_events"], "events")
+    early = source | {"mes_events": source["mes_events"].where("event_ts < timestamp '2024-01-20'")}
+    for load in (early, source):
+        pipeline.update_incremental(spark, path, "silver_mes_events", load, inputs.context())
+    return present(days.read_days(spark, path), COLUMNS["silver_mes_events"])
+
+
+def pipeline_counts(spark, sf):
+    """The whole run with its gate: what it published, and whether gold was opened."""
+    root = scratch(spark, "lake")
+    run = pipeline.run_pipeline(
+        spark, root, inputs.bronze_tables(spark, sf), inputs.EVENTS_AS_OF, inputs.INGESTED, strict=False, results_path=scratch(spark, "results")
+    )
+    counts = serving.row_counts({registry.qualified(n): spark.read.parquet(p) for n, p in run.published.items()})
+    return counts.withColumn("gate_open", F.lit(run.passed))
+
+
+def _gate_sql() -> str:
+    checks = " and ".join(f"(select bool_and(success) from ({_check_sql(n, c)}))" for n, m in registry.MODELS.items() for c in m.checks)
+    suites = " and ".join(f"(select bool_and(success) from ({suite_sql(relation(n), s)}))" for n, s in GATE_SUITES.items() if s)
+    return f"{checks} and {suites}"
+
+
+PIPELINE = " union all ".join(
+    f"select '{t}' as \"table\", count(*) as rows, ({_gate_sql()}) as gate_open from {r}"
+    for t, r in LAKE_SQL.items()
+    if not t.startswith("bronze")
+)
+
+
+# --- lineage -------------------------------------------------------------------------------------------
 
 def _tracked_counts(spark, sf):
-    source = inputs.bronze_tables(spark, sf)
-    listed = {registry.qualified(n): source[n] for n in _TRACKED_BRONZE}
-    listed |= {registry.qualified(n): df for n, df in stored_models(spark, sf, *_TRACKED).items()}
-    return serving.row_counts(listed)
+    return serving.row_counts(lake(spark, sf))
 
 
 def _edges(spark):
-    return lineage.lineage_edges(spark, {n: registry.MODELS[n] for n in _TRACKED})
+    return lineage.lineage_edges(spark, registry.MODELS)
 
 
 def lineage_edges(spark, sf):
@@ -181,12 +305,9 @@ def lineage_closure(spark, sf):
     return lineage.with_volumes(lineage.lineage_closure(_edges(spark)), _tracked_counts(spark, sf))
 
 
-_COUNTS = "(" + " union all ".join(
-    [f"select 'bronze.{n}' as t, count(*) as n from b_{n}" for n in _TRACKED_BRONZE]
-    + [f"select '{registry.qualified(n)}', count(*) from {relation(n)}" for n in _TRACKED]
-) + ")"
+_COUNTS = "(" + " union all ".join(f"select '{t}' as t, count(*) as n from {r}" for t, r in LAKE_SQL.items()) + ")"
 _EDGE_VALUES = ", ".join(
-    f"('{registry.qualified(n)}', '{registry.qualified(i)}')" for n in _TRACKED for i in registry.MODELS[n].inputs
+    f"('{registry.qualified(n)}', '{registry.qualified(i)}')" for n in registry.MODELS for i in registry.MODELS[n].inputs
 )
 LINEAGE = (
     f"vols as {_COUNTS}, edges(downstream, upstream) as (values {_EDGE_VALUES}) "
@@ -214,14 +335,9 @@ def with_list(body: str, recursive: bool = False) -> str:
 # --- access --------------------------------------------------------------------------------------------
 
 
-_MARTS = ("silver_sap_inventory", "gold_sap_inventory_mart", "silver_tms_training", "gold_training_compliance_mart")
-
-
 def visible_tables(spark, sf):
     """What each role may read, with the rows behind it."""
-    marts = {registry.qualified(n): df for n, df in stored_models(spark, sf, *_MARTS).items()}
-    counts = serving.row_counts(marts).unionByName(_tracked_counts(spark, sf))
-    catalog = counts.select(
+    catalog = _tracked_counts(spark, sf).select(
         F.split_part("table", F.lit("."), F.lit(1)).alias("layer"), F.split_part("table", F.lit("."), F.lit(2)).alias("table"), "rows"
     )
     catalog = stored(spark, catalog, "catalog")
@@ -236,12 +352,12 @@ def visible_tables(spark, sf):
     return merged
 
 
-_MART_COUNTS = " union all ".join(f"select '{registry.qualified(n)}', count(*) from {relation(n)}" for n in _MARTS)
 VISIBLE = (
-    f"vols as ({_COUNTS} union all {_MART_COUNTS}) select role, split_part(t, '.', 1) as layer, split_part(t, '.', 2) as \"table\", n as rows "
+    f"vols as {_COUNTS} select role, split_part(t, '.', 1) as layer, split_part(t, '.', 2) as \"table\", n as rows "
     "from vols join (values ('data_engineer', 'bronze'), ('data_engineer', 'silver'), ('data_engineer', 'gold'), "
     "('analyst', 'silver'), ('analyst', 'gold')) r(role, layer) on r.layer = split_part(t, '.', 1) "
-    "union all select role, 'gold', split_part(t, '.', 2), n from vols join (values ('qa_team', 'gold.gold_training_compliance_mart'), "
+    "union all select role, 'gold', split_part(t, '.', 2), n from vols join (values ('qa_team', 'gold.gold_compliance_capa_mart'), "
+    "('qa_team', 'gold.gold_quality_risk_mart'), ('qa_team', 'gold.gold_training_compliance_mart'), ('executive', 'gold.gold_manufacturing_oee_mart'), "
     "('executive', 'gold.gold_training_compliance_mart'), ('executive', 'gold.gold_sap_inventory_mart')) r(role, t) using (t)"
 )
 
@@ -255,8 +371,6 @@ def secure_view(spark, sf):
 
 # --- maintenance ---------------------------------------------------------------------------------------
 
-_DAYS = [dt.datetime(2024, 1, day, 3) for day in (1, 5, 10, 20, 28, 29, 30)]
-
 
 def _published(spark, sf, root):
     """Seven versions of a table, each with the orders of one more weekday remainder."""
@@ -392,6 +506,17 @@ def register() -> None:
     )
     add("failing_samples", failing_samples, statement(SAMPLES))
     add("profile_columns", profile, statement(PROFILE))
+    add(
+        "save_results",
+        lambda s, sf: present(kept_results(s, sf), RESULT),
+        statement(suite_sql("s_mes_production_orders", MES_PRODUCTION_ORDERS)),
+    )
+    add("expect_unique_approximate", approximate_suite, statement(APPROXIMATE))
+    add("distinct_sketches", sketched, statement(SKETCHED))
+    add("days_as_of", days_as_of, statement(DAYS_AS_OF))
+    add("compact_days", compact_days, shown("(select *, 0 as small_days from b_mes_events)", COLUMNS["bronze_mes_events"] + " small_days"))
+    add("update_incremental", update_incremental, shown("s_mes_events", COLUMNS["silver_mes_events"]))
+    add("run_pipeline", pipeline_counts, statement(PIPELINE))
     add("publish_gate", publish_gate, with_list(PUBLISH_GATE))
     add("lineage_edges", lineage_edges, with_list(LINEAGE))
     add("lineage_closure", lineage_closure, with_list(CLOSURE, recursive=True))

@@ -131,7 +131,6 @@ INPUTS: dict[str, Input] = {
             "status": "case event_id % 3 when 0 then 'OPEN' when 1 then 'IN_REVIEW' else 'CLOSED' end",
             "resolution_ts": "case when event_id % 3 = 2 then ts + (event_id % 90) * interval '1' hour else null end",
         },
-        "event_type = 'error'",
     ),
     "raw_sap_ecc_orders": Input(
         "lineitem",
@@ -256,7 +255,6 @@ INPUTS: dict[str, Input] = {
             "offset": "event_id * 2 + 1 - copy",
             "timestamp": "ts",
         },
-        "event_type in ('error', 'signup')",
     ),
     "kafka_trackwise_capas": Input(
         "orders",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from millrace.plans import registry
+from millrace.plans.pipeline import in_order
 from millrace.session import scratch
 from testbed import inputs
 from testbed.catalogue import add
@@ -83,13 +84,19 @@ BRONZE = {
     "bronze_tms": ("tms_training_completions", "b_tms_training"),
 }
 
+STORED_FIRST = {
+    "gold_batch_summary": ("silver_mes_events", "silver_production_orders", "silver_quality_events"),
+    "gold_quality_kpis": ("silver_mes_events", "silver_production_orders", "silver_quality_events", "gold_batch_summary"),
+}
 AS_OF = {"silver_trackwise_capas": inputs.CAPAS_AS_OF, "gold_compliance_capa_mart": inputs.CAPAS_AS_OF}
 
 
 def model(spark, sf_dir: str, name: str, as_of: dt.date | None = None):
     """A silver or gold table over the given tables, as one lazy plan."""
     when = as_of or AS_OF.get(name, inputs.EVENTS_AS_OF)
-    return registry.build(name, inputs.bronze_tables(spark, sf_dir), inputs.context(when))
+    # Tables that several inputs are built from are stored first, as the pipeline does; other plans stay in one piece.
+    done = stored_models(spark, sf_dir, *STORED_FIRST[name], as_of=as_of) if name in STORED_FIRST else None
+    return registry.build(name, inputs.bronze_tables(spark, sf_dir), inputs.context(when), done)
 
 
 def stored(spark, df, label: str):
@@ -103,12 +110,41 @@ def stored_models(spark, sf_dir: str, *names: str, as_of: dt.date | None = None)
     """Several models, each materialised before the next is built from it, as the pipeline does."""
     done = {}
     bronze = inputs.bronze_tables(spark, sf_dir)
-    context = inputs.context(as_of or inputs.EVENTS_AS_OF)
     for name in names:
+        context = inputs.context(as_of or AS_OF.get(name, inputs.EVENTS_AS_OF))
         done[name] = stored(spark, registry.build(name, bronze, context, done), name)
     return done
 
 
+_BUILT: dict[tuple[str, str], dict] = {}
+
+
+def all_models(spark, sf_dir: str) -> dict:
+    """All silver and gold tables, each built from the stored ones before it; kept for the session, as several queries
+    look at the whole lake."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = stored_models(spark, sf_dir, *in_order())
+    return _BUILT[key]
+
+
+def lake(spark, sf_dir: str) -> dict:
+    """Every table of the three layers by its qualified name."""
+    source = inputs.bronze_tables(spark, sf_dir)
+    tables = {registry.qualified(n): source[n] for n in registry.BRONZE_TABLES}
+    return tables | {registry.qualified(n): df for n, df in all_models(spark, sf_dir).items()}
+
+
+def bronze_relation(name: str) -> str:
+    return "b_tms_training" if name == "tms_training_completions" else f"b_{name}"
+
+
+LAKE_SQL = {registry.qualified(n): bronze_relation(n) for n in registry.BRONZE_TABLES} | {
+    registry.qualified(n): f"{m.layer[0]}_{n.split('_', 1)[1]}" for n, m in registry.MODELS.items()
+}
+
+
 def relation(name: str) -> str:
     layer, _, rest = name.partition("_")
     return f"{layer[0]}_{rest}"

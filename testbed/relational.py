@@ -23,7 +23,7 @@ from millrace.plans import gold, serving, silver
 from testbed import inputs
 from testbed.catalogue import add
 from testbed.columns import present, shown
-from testbed.models import model, stored_models
+from testbed.models import LAKE_SQL, lake, model
 from testbed.oracle import half_up, scalar, statement
 
 OEE_DAY = "date '2001-11-05'"
@@ -184,41 +184,24 @@ TOPK_SCRAP = f"""(select machine_id, plant, avg(avg_scrap_pct) as avg_scrap_pct,
     from g_manufacturing_oee_mart where production_date >= {OEE_DAY} - 7 group by machine_id, plant
     order by avg(avg_scrap_pct) desc, 1, 2 limit 5)"""
 
-LAYERS = {
-    "bronze": ("mes_production_orders", "iqms_quality_tests", "iqms_deviations"),
-    "silver": ("silver_mes_production_orders", "silver_iqms_quality_tests", "silver_iqms_deviations"),
-    "gold": ("gold_manufacturing_oee_mart", "gold_quality_risk_mart"),
-}
-
-
-def _layers(spark, sf):
-    source = inputs.bronze_tables(spark, sf)
-    built = stored_models(spark, sf, *LAYERS["silver"], *LAYERS["gold"])
-    return {
-        "bronze": {n: source[n] for n in LAYERS["bronze"]},
-        "silver": {n: built[n] for n in LAYERS["silver"]},
-        "gold": {n: built[n] for n in LAYERS["gold"]},
-    }
-
-
 def union_counts(spark, sf):
-    return serving.row_counts({n: df for tables in _layers(spark, sf).values() for n, df in tables.items()})
+    """Rows of all tables of the three layers."""
+    return serving.row_counts(lake(spark, sf))
 
 
 def layer_totals(spark, sf):
-    return serving.layer_totals(_layers(spark, sf))
-
-
-def _rel(layer: str, name: str) -> str:
-    return f"b_{name}" if layer == "bronze" else f"{layer[0]}_{name.split('_', 1)[1]}"
+    layers: dict[str, dict] = {}
+    for name, df in lake(spark, sf).items():
+        layers.setdefault(name.split(".")[0], {})[name] = df
+    return serving.layer_totals(layers)
 
 
 UNION_COUNTS = " union all ".join(
-    f"select '{name}' as \"table\", count(*) as rows from {_rel(layer, name)}" for layer, names in LAYERS.items() for name in names
+    f"select '{name}' as \"table\", count(*) as rows from {source}" for name, source in LAKE_SQL.items()
 )
 LAYER_TOTALS = " union all ".join(
-    f"select '{layer}' as layer, " + " + ".join(f"(select count(*) from {_rel(layer, n)})" for n in names) + " as total_rows"
-    for layer, names in LAYERS.items()
+    f"select '{layer}' as layer, " + " + ".join(f"(select count(*) from {source})" for name, source in LAKE_SQL.items() if name.startswith(layer)) + " as total_rows"
+    for layer in ("bronze", "silver", "gold")
 )
 
 

@@ -7,12 +7,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from millrace.operators import tables
-from millrace.plans import serving
+from millrace.plans import registry, serving
 from millrace.session import scratch
 from testbed import inputs
 from testbed.catalogue import add
 from testbed.columns import present, shown
-from testbed.models import model
+from testbed.models import bronze_relation, model
 from testbed.oracle import half_up, mean2, statement
 
 PLANT = "P1"
@@ -70,14 +70,15 @@ def storage_bytes(spark, sf):
     """Listed files and bytes per table, next to the rows the table holds."""
     root = scratch(spark, "lake")
     paths = {}
-    for name in ("iqms_orders", "trackwise_deviations"):
+    for name in registry.BRONZE_TABLES:
         paths[name] = tables.table_path(root, "bronze", name)
         tables.write_layer_table(inputs.bronze_tables(spark, sf)[name], paths[name])
     listed = tables.storage_files(spark, paths)
     # Byte counts depend on the writer; that there are some does not.
-    sizes = listed.groupBy("table").agg((F.sum("file_size") > 0).alias("has_bytes"))
+    sizes = serving.storage_bytes(listed).select("table", (F.col("storage_bytes") > 0).alias("has_bytes"))
     rows = serving.row_counts({name: spark.read.parquet(path) for name, path in paths.items()})
-    return rows.join(sizes, "table")
+    every = rows.rollup("table").agg(F.sum("rows").alias("rows")).withColumn("table", F.coalesce("table", F.lit("all")))
+    return every.join(sizes, "table")
 
 
 def serve_latest(spark, sf):
@@ -91,15 +92,13 @@ LATEST = """(select _source_system, _kafka_key, _ingested_at, substr(_raw_payloa
 
 def freshness(spark, sf):
     bronze = inputs.bronze_tables(spark, sf)
-    picked = {n: bronze[n] for n in ("mes_production_orders", "iqms_quality_tests", "iqms_deviations")}
-    return present(serving.freshness(picked), "table rows last_ingest:ts")
+    return present(serving.freshness({n: bronze[n] for n in registry.BRONZE_TABLES}), "table rows last_ingest:ts")
 
 
 FRESH = (
     "("
     + " union all ".join(
-        f"select '{n}' as \"table\", count(*) as rows, max(_ingested_at) as last_ingest from b_{n}"
-        for n in ("mes_production_orders", "iqms_quality_tests", "iqms_deviations")
+        f"select '{n}' as \"table\", count(*) as rows, max(_ingested_at) as last_ingest from {bronze_relation(n)}" for n in registry.BRONZE_TABLES
     )
     + ")"
 )
@@ -198,8 +197,9 @@ def register() -> None:
         "serve_storage_bytes",
         storage_bytes,
         statement(
-            "select 'iqms_orders' as \"table\", count(*) as rows, true as has_bytes from b_iqms_orders "
-            "union all select 'trackwise_deviations', count(*), true from b_trackwise_deviations"
+            'select coalesce(t, \'all\') as "table", sum(n)::bigint as rows, true as has_bytes from ('
+            + " union all ".join(f"select '{n}' as t, count(*) as n from {bronze_relation(n)}" for n in registry.BRONZE_TABLES)
+            + ") group by rollup (t)"
         ),
     )
     add("serve_latest_rows", serve_latest, shown(LATEST, "_source_system _kafka_key _ingested_at:ts payload_preview"))
