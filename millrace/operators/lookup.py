@@ -1,25 +1,24 @@
 """Joins of a large table to a table that holds one row per key.
 
-One batch, product or user may own a third of the large table. A plain shuffle
-join then sends that third to one task. ``lookup_join`` spreads such keys over
-several tasks; the result is the same rows as the plain join.
+One batch, product or user may own a third of the large table, and a plain shuffle join
+would send that third to one task. Adaptive execution splits such tasks by measured size,
+whatever the number of hot keys; ``session`` switches it on, also where the split costs
+another shuffle. Where it is off, as in streams, ``salted`` gives the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-HOT_ROWS = 1_000_000
-HOT_KEYS = 2_000
-# Facts below this size cannot overload a task whatever their keys; adaptive execution uses the same limit.
-SKEW_BYTES = 256 << 20
+BUCKETS = 1 << 16  # of the frequency sketch: the rows it can have at most
+TASK_ROWS = 1_000_000  # rows of a hot bucket that share a salt
 
-_HOT = "_millrace_hot"
+_BUCKET = "_millrace_bucket"
 _SALT = "_millrace_salt"
+_SALTS = "_millrace_salts"
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -27,67 +26,41 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's own broadcast threshold in bytes (-1 when broadcasting is switched off)."""
-    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, max_keys: int = HOT_KEYS) -> DataFrame:
-    """The heaviest keys of a table: at most ``max_keys`` rows, each key holding over ``min_rows``.
+def hot_buckets(df: DataFrame, keys: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Buckets of keys with more than ``task_rows`` rows, and the salts their weight asks for.
 
-    The count reads the key columns only and is combined on the map side. The row
-    bound makes the result safe to broadcast. A key left out of the list is simply
-    not salted; no result depends on the list being complete.
+    Rows are counted by a hash of the key, so the result has ``BUCKETS`` rows at most however many keys are hot, and
+    counts of tasks and days add up. The keys of a hot bucket are all salted; that changes no result.
     """
-    present = df.select(*keys).dropna(subset=list(keys))
-    counted = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_millrace_n"))
-    return (
-        counted.where(F.col("_millrace_n") > min_rows)
-        .orderBy(F.col("_millrace_n").desc())
-        .limit(max_keys)
-        .select(*keys)
-    )
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    *,
-    salts: int = SALTS,
-    min_rows: int = HOT_ROWS,
-    force_salt: bool = False,
-) -> DataFrame:
-    """Left or inner join to a lookup that is unique on ``keys``.
-
-    Small facts, and a lookup the optimizer already plans to broadcast (which never
-    shuffles the facts), need nothing more than the plain join. Otherwise rows of hot keys get a salt taken from a hash of
-    the row (stable when a task is retried), and the lookup rows of exactly those
-    keys are repeated once per salt. Rows without a key are spread the same way.
+    counted = df.dropna(subset=list(keys)).groupBy(_bucket(keys).alias(_BUCKET)).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.where(F.col("_n") > task_rows).select(_BUCKET, F.ceil(F.col("_n") / task_rows).cast("int").alias(_SALTS))
+
+
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", *, salted: bool = False, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Left or inner join to a lookup that is unique on ``keys``. A missing key matches nothing.
+
+    With ``salted``, a fact's salt comes from a hash of the row (stable when a task is retried), in as many values as its
+    bucket's weight asks for, and the lookup rows of hot buckets are repeated once per salt. Rows without a key are
+    spread over ``BUCKETS`` salts. The sketch that is broadcast has ``BUCKETS`` rows at most.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports left and inner joins")
     keys = list(keys)
-    if not force_salt:
-        if planned_bytes(facts) <= SKEW_BYTES or planned_bytes(lookup) <= broadcast_limit(lookup):
-            return facts.join(lookup, keys, how)
-
-    hot = hot_keys(facts, keys, min_rows).withColumn(_HOT, F.lit(True))
+    if not salted:
+        return facts.join(lookup, keys, how)
+    hot = F.broadcast(hot_buckets(facts, keys, task_rows))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    salted_facts = (
-        facts.join(F.broadcast(hot), keys, "left")
-        .withColumn(_SALT, F.when(no_key | F.col(_HOT), spread).otherwise(F.lit(0)))
-        .drop(_HOT)
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_lookup = (
-        lookup.dropna(subset=keys)
-        .join(F.broadcast(hot), keys, "left")
-        .withColumn(_SALT, F.explode(F.when(F.col(_HOT), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop(_HOT)
-    )
-    return salted_facts.join(salted_lookup, [*keys, _SALT], how).drop(_SALT)
+    spread = lambda salts: F.pmod(F.xxhash64(*facts.columns), salts).cast("int")
+    marked = facts.withColumn(_BUCKET, _bucket(keys)).join(hot, _BUCKET, "left")
+    salt = F.when(no_key, spread(F.lit(BUCKETS))).otherwise(spread(F.coalesce(_SALTS, F.lit(1))))
+    marked = marked.withColumn(_SALT, salt).drop(_BUCKET, _SALTS)
+    repeated = lookup.dropna(subset=keys).withColumn(_BUCKET, _bucket(keys)).join(hot, _BUCKET, "left")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(_SALTS, F.lit(1)) - 1))
+    repeated = repeated.withColumn(_SALT, every).drop(_BUCKET, _SALTS)
+    return marked.join(repeated, [*keys, _SALT], how).drop(_SALT)

@@ -193,7 +193,7 @@ def stock_profiles(sap: DataFrame) -> DataFrame:
     product = F.replace("material_code", F.lit("MAT"), F.lit("API")).alias("product_code")
     figures = {"planned_qty": "sap_planned", "actual_qty": "sap_actual", "total_cost": "total_cost"}
     # Amounts are summed as decimals: exact, so the average does not depend on the order of partial sums.
-    exact = {"total_cost": "decimal(18,4)"}
+    exact = {"total_cost": "decimal(38,12)"}
     sums = [F.sum(F.col(c).cast(exact.get(c, "double"))).alias(f"_sum_{c}") for c in figures]
     counts = [F.count(c).alias(f"_n_{c}") for c in figures]
     combos = sap.groupBy(product, "plant", "storage_location", "uom", "cost_center", "currency").agg(

@@ -49,7 +49,7 @@ def join_inner(spark, sf):
     tables = inputs.bronze_tables(spark, sf)
     batches = tables["mes_events"].groupBy("batch_id").agg(F.count(F.lit(1)).alias("events"))
     return lookup_join(
-        tables["trackwise_deviations"].select("deviation_id", "batch_id", "severity"), batches, ["batch_id"], "inner", force_salt=True, min_rows=2, salts=8
+        tables["trackwise_deviations"].select("deviation_id", "batch_id", "severity"), batches, ["batch_id"], "inner", salted=True, task_rows=2
     )
 
 
@@ -58,7 +58,7 @@ def join_latest_lookup(spark, sf):
     tables = inputs.bronze_tables(spark, sf)
     latest = silver.latest_order_per_batch(tables["iqms_orders"])
     events = tables["mes_events"].select("event_id", "batch_id")
-    return lookup_join(events, latest, ["batch_id"], force_salt=True, min_rows=3, salts=8).select(
+    return lookup_join(events, latest, ["batch_id"], salted=True, task_rows=3).select(
         "event_id", "batch_id", "order_id", "order_status", "planned_quantity"
     )
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.dedup import dedup_latest, keep_latest
-from millrace.operators.lookup import hot_keys, lookup_join
+from millrace.operators.lookup import BUCKETS, hot_buckets, lookup_join
 from millrace.operators.nearest import nearest_dated
 
 
@@ -48,24 +48,57 @@ def test_salted_join_equals_plain_join(spark, how):
         F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 50).cast("int").alias("k"),
     )
     lookup = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
-    salted = lookup_join(facts, lookup, ["k"], how, salts=5, min_rows=20, force_salt=True)
+    salted = lookup_join(facts, lookup, ["k"], how, salted=True, task_rows=20)
     assert rows_of(salted) == rows_of(facts.join(lookup, "k", how))
 
 
 def test_hot_rows_are_spread(spark, every_partition):
     facts = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).cast("int").alias("k"))
-    assert [r["k"] for r in hot_keys(facts, ["k"], min_rows=100).collect()] == [1]
+    assert [r["_millrace_salts"] for r in hot_buckets(facts, ["k"], task_rows=100).collect()] == [21]
     lookup = spark.range(4000).select(F.col("id").cast("int").alias("k"), F.lit("v").alias("v"))
-    joined = lookup_join(facts, lookup, ["k"], salts=16, min_rows=100, force_salt=True)
+    joined = lookup_join(facts, lookup, ["k"], salted=True, task_rows=100)
     sizes = [r["count"] for r in joined.where("k = 1").groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2001 and len(sizes) > 1
 
 
+def test_any_number_of_hot_keys(spark):
+    """5,000 keys of ten rows each are all hot; each is salted by its own weight and no row is lost."""
+    facts = spark.range(60_000).select("id", F.when(F.col("id") < 50_000, F.col("id") % 5000).otherwise(F.col("id")).alias("k"))
+    lookup = spark.range(70_000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    hot = hot_buckets(facts, ["k"], task_rows=4)
+    assert 4000 < hot.count() <= BUCKETS
+    joined = lookup_join(facts, lookup, ["k"], "inner", salted=True, task_rows=4)
+    assert joined.count() == 60_000 and joined.where("v <> 3 * k").count() == 0
+
+
+def test_adaptive_execution_splits_hot_keys(spark):
+    """The plain join is cut at run time: a key with half of all rows is read by several tasks."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        ids = spark.range(0, 60_000, 1, 8)
+        facts = ids.select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"))
+        joined = lookup_join(facts, ids.select(F.col("id").alias("k"), F.lit("v").alias("v")), ["k"])
+        assert joined.count() == 60_000
+        assert joined.collect() and "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_null_keys_match_nothing(spark):
     facts = spark.createDataFrame([(1, None), (2, "a")], "id int, k string")
     lookup = spark.createDataFrame([(None, "null"), ("a", "A")], "k string, v string")
-    for force in (True, False):
-        got = lookup_join(facts, lookup, ["k"], force_salt=force, min_rows=0, salts=3)
+    for salted in (True, False):
+        got = lookup_join(facts, lookup, ["k"], salted=salted, task_rows=1)
         assert rows_of(got.select("id", "v")) == [(1, None), (2, "A")]
 
 
