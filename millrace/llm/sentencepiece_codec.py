@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm.words import releasing
 
 _SPACE = "▁"
+_SPACES = re.compile(" {2,}")
 STORE = 200_000  # segments that a worker remembers
 CHARS = 250_000  # of texts handled at once, unless one text alone is longer
 _LEARN = 20_000  # new segments that go through both libraries at once
@@ -49,7 +50,7 @@ class Codec:
         plain = [p.piece for p in spec.pieces if p.type in (_NORMAL, _USER)]
         if any(_SPACE in p.lstrip(_SPACE) for p in plain):
             raise ValueError("a piece has the space mark inside, so texts can't be cut at spaces")
-        if not (rules.add_dummy_prefix and rules.escape_whitespaces) or rules.remove_extra_whitespaces:
+        if not (rules.add_dummy_prefix and rules.escape_whitespaces):
             raise ValueError("the model treats white space in a way that is not supported")
         unknown = next(i for i, p in enumerate(spec.pieces) if p.type == 2)
         fallback = spec.trainer_spec.byte_fallback
@@ -64,23 +65,22 @@ class Codec:
         else:
             raise ValueError("only unigram and BPE models are supported")
         self.tokenizer = Tokenizer(core)
-        steps = [normalizers.Precompiled(rules.precompiled_charsmap)] if rules.precompiled_charsmap else []
-        self.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", _SPACE)])
+        self.normalizer = normalizers.Precompiled(rules.precompiled_charsmap) if rules.precompiled_charsmap else None
+        self.squeeze = rules.remove_extra_whitespaces
         self.prefix = _SPACE
         self.tokenizer.decoder = decoders.Sequence(
             [decoders.Replace(_SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)]
         )
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(_SPACE, " ").encode() for p in spec.pieces]
-        self.identity = not steps
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = re.compile(f"{_SPACE}+[^{_SPACE}]*")
         self._forget()
 
     def normalized(self, text: str) -> str:
-        if not text:
-            return ""
-        plain = text.replace(" ", _SPACE) if self.identity else self.normalizer.normalize_str(text)
-        return self.prefix + plain
+        plain = self.normalizer.normalize_str(text) if self.normalizer else text
+        if self.squeeze:
+            plain = _SPACES.sub(" ", plain).strip(" ")
+        return self.prefix + plain.replace(" ", _SPACE) if plain else ""
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -92,14 +92,14 @@ class Codec:
         expected = self.model.encode([s[1:].replace(_SPACE, " ") for s in segments], num_threads=1)
         own = [x.ids for x in found]
         expected = [e if len(s) > 1 else o for s, o, e in zip(segments, own, expected, strict=True)]
-        sizes = np.fromiter(map(len, expected), np.int64, len(expected))
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
         self.known.update(zip(segments, range(len(self.same), len(self.same) + len(segments)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(expected), np.int32, sizes.sum())])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(own), np.int32, sizes.sum())])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.same = np.concatenate([self.same, np.fromiter(map(eq, own, expected), bool, len(own))])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """Ids of each text, and whether both implementations agree on all its segments; ids are the reference's."""
+        """The tokenizers library's ids of each text, and whether the reference agrees on all its segments."""
         cut = [self.cut.findall(self.normalized(t)) for t in texts]
         needed = set(chain.from_iterable(cut))
         new = [s for s in needed if s not in self.known]
@@ -141,8 +141,8 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
 def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of ``docs``, with input_ids (array of int) and parity of every text.
 
-    Null and empty texts have no ids. ``parity``: both implementations agree; where they don't, the ids are the
-    reference's. Names input_ids and parity must not be among ``columns``.
+    Null and empty texts have no ids. The ids are the tokenizers library's; ``parity``: the reference implementation
+    gives the same. Names input_ids and parity must not be among ``columns``. An empty table gives an empty result.
     """
     model = read_model(path)
 
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -
 
 
 def decode(encoded: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of ``encoded`` and the text of its input_ids; null ids give null."""
+    """``columns`` of ``encoded`` and the text of its input_ids; null ids give null, an empty table an empty result."""
     model = read_model(path)
 
     @F.pandas_udf("string")
@@ -178,7 +178,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Every text encoded and decoded: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers),
     text_sha256 (of the decoded text in UTF-8), lossless (it equals the input; null counts as empty) and parity.
 
-    A text with a literal space mark comes back with a space in its place, as the model defines. Repeated rows give
+    A text with a literal space mark comes back with a space in its place, and a model that normalises texts or squeezes
+    their spaces gives back what it made of them. Repeated rows give
     repeated rows; an empty table gives an empty result.
     """
     model = read_model(path)
