@@ -422,3 +422,16 @@ def test_codec_on_empty_tables_and_null_ids(spark, docs, nothing):
     ids = spark.createDataFrame([(1, None), (2, [])], "doc_id long, input_ids array<int>")
     assert {r.doc_id: r.text for r in sentencepiece_codec.decode(ids, SENTENCEPIECE).collect()} == {1: None, 2: ""}
     assert sentencepiece_codec.decode(ids.where("false"), SENTENCEPIECE).count() == 0
+
+
+def test_the_directory_doubles_and_rows_are_found_in_their_bucket(spark):
+    texts = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 1000).alias("text"))
+    index, slots = exact_dedup.build_index(texts, capacity=50, max_depth=8)
+    found = {r.slot: r.bucket for r in slots.collect()}
+    assert len(found) == 256 and len(set(found.values())) > 20
+    rows = index.collect()
+    assert len(rows) == 1000 and all(found[(r.key % (1 << 64)) >> 56] == r.bucket for r in rows)
+    sizes = Counter(r.bucket for r in rows)
+    assert max(sizes.values()) <= 50
+    groups = exact_dedup.exact_groups(texts, capacity=50, max_depth=8)
+    assert groups.where("kept").count() == 1000 and groups.where("group_size <> 3 or keep_id % 1000 <> doc_id % 1000").count() == 0
