@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.session import scratch
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_MADE: list[str] = []  # tables written by this driver, oldest first
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,9 +39,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    """How many tables ``written`` has made so far: a mark for ``drop_tables``."""
+    return len(_MADE)
+
+
+def drop_tables(spark: SparkSession, since: int, until: int) -> None:
+    """Delete the tables made between two marks. Nothing that is still to be read may depend on them."""
+    for path in _MADE[since:until]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """Rows that no model learns from: CRC-32 of the id as text, modulo 4, is 2. A missing id is never held out."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

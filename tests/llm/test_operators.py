@@ -435,3 +435,14 @@ def test_the_directory_doubles_and_rows_are_found_in_their_bucket(spark):
     assert max(sizes.values()) <= 50
     groups = exact_dedup.exact_groups(texts, capacity=50, max_depth=8)
     assert groups.where("kept").count() == 1000 and groups.where("group_size <> 3 or keep_id % 1000 <> doc_id % 1000").count() == 0
+
+
+def test_dropped_tables_are_those_between_the_marks(spark):
+    from millrace.llm.common import drop_tables, tables_made, written
+
+    start = tables_made()
+    first, second = (written(spark.range(5), f"mark-{i}") for i in range(2))
+    drop_tables(spark, start, tables_made() - 1)
+    assert second.count() == 5
+    with pytest.raises(Exception):
+        first.count()
