@@ -27,6 +27,8 @@ from millrace.llm.components import connected
 from millrace.llm.words import releasing
 
 THRESHOLD = 2
+BLOCK = 100_000  # entries of a hot anchor that are compared with as many others in one task
+_BUCKET_BITS, _CELL_BITS, _MOST_BLOCKS = 16, 17, 362  # cells of an anchor: 362 * 362 < 2**17
 _FOLD, _HALF = 46, 23
 _CHECKS = 11
 _GENERATOR = 0xAE3  # fixed value: generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1
@@ -145,8 +147,39 @@ def _links(prints: np.ndarray, anchors: np.ndarray, home: np.ndarray, threshold:
             root = root[root]
 
 
-def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints in reach of each other. ``prints``: distinct ``fingerprint``."""
+def _bucket(anchors: np.ndarray) -> np.ndarray:
+    return (anchors.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+
+
+def hot_anchors(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> np.ndarray:
+    """Blocks that the anchors of each bucket are cut into: more than one only where a bucket holds over ``block`` entries
+    and over four times the average. Entries are counted by a hash of the anchor, so counts are few whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, total = Anchors(threshold), np.zeros(1 << _BUCKET_BITS, np.int64)
+        for batch in batches:
+            found = batch.column(0).to_numpy(zero_copy_only=False)
+            for start in range(0, len(found), 2000):
+                _, anchor, _ = near.of(found[start : start + 2000].view(np.uint64))
+                total += np.bincount(_bucket(anchor), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    counted = prints.select("fingerprint").mapInArrow(releasing(count), "bucket bigint, n bigint")
+    total = np.zeros(1 << _BUCKET_BITS, np.int64)
+    for bucket, n in counted.groupBy("bucket").agg(F.sum("n")).collect():  # 2**_BUCKET_BITS rows at most
+        total[bucket] = n
+    blocks = np.minimum(-(-total // block), _MOST_BLOCKS)
+    return np.where(total > max(block, 4 * total.mean()), blocks, 1)
+
+
+def links(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints in reach of each other. ``prints``: distinct ``fingerprint``.
+
+    The entries of a hot anchor are cut into blocks by a hash of the fingerprint; every pair of blocks is a cell of its own,
+    so an anchor that most fingerprints lie near is many tasks, and all its pairs are still compared.
+    """
+    blocks = hot_anchors(prints, threshold, block)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = Anchors(threshold)
@@ -155,7 +188,16 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             for start in range(0, len(found), 2000):
                 part = found[start : start + 2000]
                 row, anchor, home = near.of(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row]), pa.array(home)], ["anchor", "fingerprint", "home"])
+                number = blocks[_bucket(anchor)]
+                own = (part[row].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % number
+                # An entry goes to its block's cell with every block; a cell is named by its smaller block first.
+                again = np.repeat(np.arange(len(row)), number)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(number) - number, number)
+                low, high = np.minimum(own[again], other), np.maximum(own[again], other)
+                cell = anchor[again] << _CELL_BITS | low * _MOST_BLOCKS + high
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell), pa.array(part[row][again]), pa.array(home[again])], ["anchor", "fingerprint", "home"]
+                )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple[np.ndarray, ...]] = []

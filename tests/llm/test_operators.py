@@ -446,3 +446,32 @@ def test_dropped_tables_are_those_between_the_marks(spark):
     assert second.count() == 5
     with pytest.raises(Exception):
         first.count()
+
+
+@pytest.mark.parametrize("block", [100_000, 40])
+def test_hot_anchor_is_cut_into_blocks(spark, block):
+    """Fingerprints around one centre, most of them near the same anchors: cells of blocks find the same components."""
+    rng = np.random.default_rng(4)
+    centre = int(rng.integers(0, 1 << 62))
+    prints = {centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (400, 2))}
+    prints |= {int(x) for x in rng.integers(0, 1 << 62, 50)}
+    frame = spark.createDataFrame([(x,) for x in sorted(prints)], "fingerprint long")
+    if block == 40:
+        assert simhash.hot_anchors(frame, block=block).max() > 3
+    found = [(r.a, r.b) for r in simhash.links(frame, block=block).collect()]
+    assert all(bin(a ^ b).count("1") <= 2 for a, b in found)
+
+    def components(edges):
+        root = {x: x for x in prints}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return {x: top(x) for x in prints}
+
+    every = [(a, b) for a in prints for b in prints if a < b and bin(a ^ b).count("1") <= 2]
+    assert components(found) == components(every)
