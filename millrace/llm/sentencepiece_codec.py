@@ -24,9 +24,9 @@ from millrace.llm.words import releasing
 
 _SPACE = "▁"
 _SPACES = re.compile(" {2,}")
-STORE = 200_000  # segments that a worker remembers
+STORE = 150_000  # segments that a worker remembers
 CHARS = 250_000  # of texts handled at once, unless one text alone is longer
-_LEARN = 20_000  # new segments that go through both libraries at once
+_LEARN = 5_000  # new segments that go through both libraries at once
 _NORMAL, _USER, _BYTE = 1, 4, 6  # fixed values: piece types of the protobuf
 _UNIGRAM, _BPE = 1, 2  # fixed values: model types of the protobuf
 
