@@ -177,7 +177,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, **sizes: int) -> DataFrame:
-    """One row per row of ``docs``: doc_id, contaminated, n_items, item_id (the smallest), words (most covered by a match)."""
+    """One row per row of ``docs``: doc_id, contaminated, n_items, item_id (the smallest), words (most covered by a match).
+
+    A null text is clean, and so is every text if ``benchmark`` is empty. Rows are told apart by doc_id and text, so repeated
+    rows and null ids get the result of their text. An empty table gives an empty result.
+    """
     found = find_leaks(docs, benchmark, **sizes).where("consistent").groupBy("row")
     found = written(
         found.agg(F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("item_id"), F.max("words").alias("words")), "leaks"
@@ -193,7 +197,10 @@ def leaks_by_document(docs: DataFrame, benchmark: DataFrame, **sizes: int) -> Da
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **sizes: int) -> DataFrame:
-    """``docs``, all its columns, without the rows that hold a passage of ``benchmark``."""
+    """``docs``, all its columns, without the rows that hold a passage of ``benchmark``.
+
+    Null and empty texts stay, whatever their id; repeated rows go together; an empty table stays empty.
+    """
     gone = written(find_leaks(docs.select("doc_id", "text"), benchmark, **sizes).where("consistent").select("row").distinct(), "leaks-gone")
     return docs.withColumn("_millrace_row", F.xxhash64("doc_id", "text")).join(
         gone.withColumnRenamed("row", "_millrace_row"), "_millrace_row", "left_anti"

@@ -241,7 +241,11 @@ def predict_languages(docs: DataFrame, vocabulary: str, **bounds: int) -> DataFr
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, wanted: list[str] | None = None, **bounds: int) -> DataFrame:
-    """``docs``, all its columns, without rows whose language is ``und`` or not in ``wanted`` (None: any learned one)."""
+    """``docs``, all its columns, without rows whose language is ``und`` or not in ``wanted`` (None: any learned one).
+
+    Null texts and texts without a letter are ``und`` and go. Where no row has both text and lang nothing is learned, so
+    every row goes. Repeated rows share their fate; very long texts are scored whole; an empty table stays empty.
+    """
     pieces, langs, p = fit(docs, vocabulary, **bounds)
     wanted = langs if wanted is None else wanted
 

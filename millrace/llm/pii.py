@@ -156,7 +156,8 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float
 
     A null text counts as empty and has no spans. Spans read ``kind:start:end``, ordered by kind as listed, then start;
     learned spans never touch base ones. A word beside two trusted patterns takes the kind with the higher score, then the
-    first kind. Repeated rows get the same spans; an empty table gives an empty result.
+    first kind. Repeated rows get the same spans; an empty table gives an empty result. Texts are searched whole, however
+    long; as context of a candidate counts a word that lies within 60 characters of it, or as much of it as does.
     """
     scanned = written(scan(docs), "pii-scan")
     each = scanned.select("row", F.explode("candidates").alias("c")).select("row", "c.*")

@@ -152,6 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text).
 
     A null text counts as empty; an empty text scores the constant of the model. predicted is 1 from ``threshold`` on.
+    Very long texts are scored whole. Repeated rows give repeated rows, an empty table an empty result.
     """
     odds, constant, prior = fit(docs, labels, **bounds)
 
