@@ -149,11 +149,29 @@ def test_network_tells_keys_from_words():
     train = np.arange(800) % 2 == 0
     network = secrets.Network()
     network.fit(codes[train], labels[train])
-    network.calibrate(network.logits(codes[~train]), labels[~train], 0.95, 0.5)
+    network.calibrate(network.logits(codes[~train]), labels[~train], 0.95)
     said = network.probability(network.logits(codes[~train])) >= network.threshold
     assert (said == labels[~train]).mean() > 0.95 and said[labels[~train] == 1].mean() >= 0.94
 
 
+def test_candidates_are_read_whole_and_recall_is_kept(spark):
+    """A kind that was never labelled is found by its look; a difference after 40 characters counts; nulls and repeats hold."""
+    rng = np.random.default_rng(1)
+    key = lambda n, letters: "".join(rng.choice(list(letters), n))
+    plain = lambda: " ".join("".join(rng.choice(WORDS, 5)) for _ in range(3))
+    rows = [(i, f"{plain()} {key(24, '0123456789abcdef')} {plain()} token: {key(20, 'ABCDEFGHJKLMNPQRSTUVWXYZ0123456789')}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    network = secrets.fit(docs)
+    hidden = [(1000 + i, f"{plain()} {key(30, 'ABCDEF0123456789')} {plain()}") for i in range(60)]
+    hidden += [(2000 + i, plain()) for i in range(60)] + [(3000, None), (3000, None), (3001, "")]
+    hidden += [(4000, "".join(rng.choice(WORDS, 30))[:60]), (4001, "".join(rng.choice(WORDS, 30))[:48] + key(40, "ABCDEF0123456789"))]
+    found = secrets.find_secrets(spark.createDataFrame(hidden, "doc_id long, text string"), network).collect()
+    got = {r.doc_id: r.n_learned for r in found}
+    assert len(found) == len(hidden) and got[3000] == got[3001] == 0
+    assert np.mean([got[1000 + i] > 0 for i in range(60)]) >= 0.9 and np.mean([got[2000 + i] == 0 for i in range(60)]) >= 0.9
+    assert got[4000] == 0 and got[4001] == 1
+
+
 def test_simhash_links(docs, nothing):
     def mark(t):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or ""))
