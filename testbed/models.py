@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from millrace.operators import tables
 from millrace.plans import registry
 from millrace.plans.pipeline import in_order
 from millrace.session import scratch
@@ -123,7 +124,8 @@ def all_models(spark, sf_dir: str) -> dict:
     """All silver and gold tables, each built from the stored ones before it; kept for the session, as several queries
     look at the whole lake."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
+    files = [df.inputFiles()[:1] for df in _BUILT.get(key, {}).values()]
+    if not files or not all(tables.exists(spark, f) for some in files for f in some):
         _BUILT.clear()
         _BUILT[key] = stored_models(spark, sf_dir, *in_order())
     return _BUILT[key]
@@ -132,8 +134,8 @@ def all_models(spark, sf_dir: str) -> dict:
 def lake(spark, sf_dir: str) -> dict:
     """Every table of the three layers by its qualified name."""
     source = inputs.bronze_tables(spark, sf_dir)
-    tables = {registry.qualified(n): source[n] for n in registry.BRONZE_TABLES}
-    return tables | {registry.qualified(n): df for n, df in all_models(spark, sf_dir).items()}
+    found = {registry.qualified(n): source[n] for n in registry.BRONZE_TABLES}
+    return found | {registry.qualified(n): df for n, df in all_models(spark, sf_dir).items()}
 
 
 def bronze_relation(name: str) -> str:
