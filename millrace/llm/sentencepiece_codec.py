@@ -24,7 +24,7 @@ from millrace.llm.words import releasing
 
 _SPACE = "▁"
 _SPACES = re.compile(" {2,}")
-STORE = 150_000  # segments that a worker remembers
+STORE, ROUND_TRIP_STORE = 150_000, 400_000  # segments that a task remembers, where memory is short and where it is not
 CHARS = 250_000  # of texts handled at once, unless one text alone is longer
 _LEARN = 5_000  # new segments that go through both libraries at once
 _NORMAL, _USER, _BYTE = 1, 4, 6  # fixed values: piece types of the protobuf
@@ -39,7 +39,7 @@ def read_model(path: str) -> bytes:
 class Codec:
     """Encodes and decodes; built from the bytes of a model file."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, store: int = STORE):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
         from tokenizers import Tokenizer, decoders, models, normalizers
@@ -67,6 +67,7 @@ class Codec:
         self.tokenizer = Tokenizer(core)
         self.normalizer = normalizers.Precompiled(rules.precompiled_charsmap) if rules.precompiled_charsmap else None
         self.squeeze = rules.remove_extra_whitespaces
+        self.store = store
         self.prefix = _SPACE
         self.tokenizer.decoder = decoders.Sequence(
             [decoders.Replace(_SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)]
@@ -103,7 +104,7 @@ class Codec:
         cut = [self.cut.findall(self.normalized(t)) for t in texts]
         needed = set(chain.from_iterable(cut))
         new = [s for s in needed if s not in self.known]
-        if len(self.known) + len(new) > STORE:
+        if len(self.known) + len(new) > self.store:
             self._forget()
             new = list(needed)
         for start in range(0, len(new), _LEARN):
@@ -187,7 +188,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("struct<n_tokens: bigint, ids_sha256: string, text_sha256: string, lossless: boolean, parity: boolean>")
     @releasing
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model)
+        codec = Codec(model, ROUND_TRIP_STORE)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
             rows = []
