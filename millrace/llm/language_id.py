@@ -21,7 +21,7 @@ from millrace.llm.common import bounded_sample, held_out
 from millrace.llm.words import WordStore, groups, releasing, sums
 
 MAX_WORD = 48
-STORE = 200_000  # words that a worker remembers
+STORE, PREDICTION_STORE = 200_000, 400_000  # words that a task remembers, where memory is short and where it is not
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = "▁"
 _UNKNOWN_CHAR = 1e-7  # share of mass a language gives to characters outside the vocabulary, before training
@@ -175,11 +175,11 @@ def train(sample: list[tuple[str, str]], pieces: list[str], rounds: int = 3, pri
 
 
 class Scorer:
-    """Scores texts; remembers words, ``STORE`` at most."""
+    """Scores texts; remembers words, ``store`` at most."""
 
-    def __init__(self, pieces: list[str], langs: list[str], p: np.ndarray):
+    def __init__(self, pieces: list[str], langs: list[str], p: np.ndarray, store: int = STORE):
         lattice = Lattice(pieces)
-        self.langs, self.store = langs, WordStore(lambda words: self._logs(lattice, words, p), STORE)
+        self.langs, self.store = langs, WordStore(lambda words: self._logs(lattice, words, p), store)
 
     @staticmethod
     def _logs(lattice: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(pieces, langs, p)
+        scorer = Scorer(pieces, langs, p, PREDICTION_STORE)
         for batch in batches:
             found, shares = scorer.predict([t if isinstance(t, str) else None for t in batch["text"]])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": found, "score": shares})
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray
     return docs.select("doc_id", "text").mapInPandas(releasing(score), f"doc_id {doc_type}, lang_pred string, score double")
 
 
-def fit(docs: DataFrame, vocabulary: str, max_rows: int = 300, max_chars: int = 1_500_000) -> tuple[list[str], list[str], np.ndarray]:
+def fit(docs: DataFrame, vocabulary: str, max_rows: int = 300, max_chars: int = 400_000) -> tuple[list[str], list[str], np.ndarray]:
     """Pieces, languages and probabilities, learned from rows that are not held out and have text and lang.
 
     Of each language at most ``max_rows`` rows and ``max_chars`` characters are used, chosen by a hash of the id
