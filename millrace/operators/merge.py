@@ -32,9 +32,9 @@ def anti_join_existing(
     fresh = keep_latest(rows.where(has_key(keys)), keys, latest_by)
     if existing is None:
         return fresh.unionByName(unkeyed)
-    # First which of the new keys are stored: that side of a semi join may be broadcast, so a long
-    # table is scanned for its key columns but not shuffled for the sake of a short batch.
-    known = existing.select(*keys).join(rows.select(*keys), keys, "left_semi").distinct()
+    # ``fresh`` lies by its key already, so only the stored keys move; looking up which of them the rows have would move
+    # the keys of all rows once more, after computing the rows again.
+    known = existing.select(*keys).distinct()
     # A join on named keys moves them to the front; the table's column order is kept.
     return fresh.join(known, keys, "left_anti").select(*rows.columns).unionByName(unkeyed)
 

@@ -142,3 +142,12 @@ def test_merge_into_days_loses_no_row_and_no_column(spark, tmp_path):
         assert sorted(map(str, map(tuple, got))) == sorted(
             map(str, [("a", 1, "x", None), ("b", 20, None, 7), (None, 3, "z", None), ("c", 4, "w", None), (None, 5, None, 8)])
         )
+
+
+def test_stored_keys_are_compared_without_moving_the_new_ones_again(spark):
+    new = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1), (None, 1)], "k string, v int")
+    old = spark.createDataFrame([("b",), ("b",), (None,)], "k string")
+    got = merge.anti_join_existing(new, old, ["k"], ["v"])
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == [("a", 2), (None, 1), (None, 1)]
+    # The rows are computed twice, for those with a key and those without; no third time for a list of their keys.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 0
