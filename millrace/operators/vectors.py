@@ -42,8 +42,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), width)
 
 
-def _cell(k: int, metric: str, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The k best corpus rows of a cell for every query of the cell; nothing else leaves it."""
+def _cell(k: int, metric: str, width: int, cell_values: int = CELL_VALUES) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best corpus rows of a cell for every query of the cell; nothing else leaves it. No side of a product has
+    more than ``cell_values`` elements."""
+    at_once = max(1, cell_values // max(1, width))
+    query_step, row_step = min(PRODUCT_QUERIES, at_once), min(PRODUCT_ROWS, at_once)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         query_ids, row_ids = (t.column("id").to_numpy() for t in (left, right))
@@ -53,12 +56,12 @@ def _cell(k: int, metric: str, width: int) -> Callable[[pa.Table, pa.Table], pa.
             if metric == "cosine":
                 queries, rows = _unit_rows(queries), _unit_rows(rows)
             parts = []
-            for start in range(0, len(queries), PRODUCT_QUERIES):
-                some = queries[start : start + PRODUCT_QUERIES]
+            for start in range(0, len(queries), query_step):
+                some = queries[start : start + query_step]
                 own = (held[0][:0], held[1][:0], held[2][:0])
-                for first in range(0, len(rows), PRODUCT_ROWS):
+                for first in range(0, len(rows), row_step):
                     # Rounded, so equal vectors tie whatever cell they came in.
-                    scores = np.round(some @ rows[first : first + PRODUCT_ROWS].T, 12)
+                    scores = np.round(some @ rows[first : first + row_step].T, 12)
                     if scores.shape[1] > k:
                         floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
                         at, column = np.nonzero(scores >= floor[:, None])
@@ -91,6 +94,14 @@ def _blocks(count: int, width: int, cell_values: int) -> int:
     return max(1, -(-count * width // cell_values))
 
 
+def _grid(queries: int, rows: int, width: int, cell_values: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and of corpus rows. Every row goes to as many cells as the other side has blocks, so blocks never
+    hold less than ``CELL_VALUES`` elements, except to give every core a cell."""
+    moved = max(cell_values, CELL_VALUES)
+    across = _blocks(queries, width, moved)
+    return across, max(_blocks(rows, width, moved), -(-cores // across))
+
+
 def _every(number: int | Column) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(number) - 1))
 
@@ -126,8 +137,8 @@ def vector_topk(
 ) -> DataFrame:
     """The k most similar corpus rows of every query, exactly: ``query_id, rank, hit_id, score``.
 
-    Both sides are cut into blocks of ``cell_values`` elements by a hash of the id, and every pair of blocks is a cell,
-    scored by matrix products in a task of its own. A query row goes to as many cells as the corpus has blocks, a
+    Both sides are cut into blocks of ``CELL_VALUES`` elements (``cell_values`` if more) by a hash of the id, and every pair
+    of blocks is a cell, scored in a task of its own by matrix products with ``cell_values`` elements a side at most. A query row goes to as many cells as the corpus has blocks, a
     corpus row to as many as the queries have; with one block of queries the corpus moves once. Each cell passes on its
     k best rows per query, and a second ranking merges them. No row passes through the driver.
 
@@ -140,12 +151,11 @@ def vector_topk(
     count, width = _sizes(wanted)
     wanted, rows = (side.where(F.size("v") == width) for side in (wanted, rows))
     cores = corpus.sparkSession.sparkContext.defaultParallelism
-    across = _blocks(count, width, cell_values)
-    down = max(_blocks(rows.count(), width, cell_values), -(-cores // across))
+    across, down = _grid(count, rows.count(), width, cell_values, cores)
     left = wanted.select("id", "v", _own(across).alias("a"), _every(down).alias("b"))
     right = rows.select("id", "v", _every(across).alias("a"), _own(down).alias("b"))
     cells = left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
-    return _ranked(cells.applyInArrow(_cell(k, metric, width), _HITS), k)
+    return _ranked(cells.applyInArrow(_cell(k, metric, width, cell_values), _HITS), k)
 
 
 def _planes(tables: int, bits: int, width: int, seed: int) -> np.ndarray:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import documents
-from millrace.operators.vectors import recall, vector_topk, vector_topk_lsh
+from millrace.operators.vectors import _grid, recall, vector_topk, vector_topk_lsh
 
 
 def expected_chunks(text, size=512, overlap=50):
@@ -206,3 +206,10 @@ def test_topk_has_no_product_of_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     plan = vector_topk(df, df, 1)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and plan.count("WindowGroupLimit") == 2
+
+
+def test_small_products_do_not_multiply_the_rows_that_move(spark):
+    across, down = _grid(720_000, 720_000, 64, 8000, 12)
+    assert across <= 25 and down <= 25
+    assert _grid(2000, 2000, 64, 8000, 12) == (1, 12)
+    assert _grid(0, 0, 0, 8000, 4) == (1, 4)
