@@ -1,8 +1,10 @@
-"""Queries over the whole lake, on given tables of a few rows."""
+"""Queries over the whole lake and suites over one table, on given tables of a few rows."""
 
 import datetime as dt
 
-from testbed import models, registered
+import pytest
+
+from testbed import governance, models, registered
 
 T = dt.datetime(2024, 1, 3, 5)
 
@@ -41,3 +43,12 @@ def test_the_lake_deduplicates_a_bronze_table_once(spark, tmp_path, monkeypatch)
     tables = models.lake(spark, given(spark, tmp_path, 3))
     assert len(built) == 1
     assert "Window" not in tables["bronze.sap_ecc_orders"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "columns"), [("run_suite", None), ("run_suite_quality_tests", {"test_id", "test_type", "batch_number", "result_value", "result"})])
+def test_a_suite_stores_only_what_it_reads_again(spark, tmp_path, monkeypatch, name, columns):
+    kept = []
+    monkeypatch.setattr(governance, "stored", lambda spark, df, label: kept.append(set(df.columns)) or df)
+    found = registered()[name].run(spark, given(spark, tmp_path, 3)).collect()
+    assert kept == ([columns] if columns else [])
+    assert len(found) == 6 and all(r["total"] == 2 for r in found)
