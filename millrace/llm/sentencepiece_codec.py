@@ -24,7 +24,7 @@ from millrace.llm.words import releasing
 
 _SPACE = "▁"
 _SPACES = re.compile(" {2,}")
-STORE, ROUND_TRIP_STORE = 150_000, 400_000  # segments that a task remembers, where memory is short and where it is not
+STORE, ROUND_TRIP_STORE = 150_000, 400_000  # segments that a task remembers, where memory is short, and a worker, where it is not
 CHARS = 250_000  # of texts handled at once, unless one text alone is longer
 _LEARN = 5_000  # new segments that go through both libraries at once
 _NORMAL, _USER, _BYTE = 1, 4, 6  # fixed values: piece types of the protobuf
@@ -94,10 +94,11 @@ class Codec:
         own = [x.ids for x in found]
         expected = [e if len(s) > 1 else o for s, o, e in zip(segments, own, expected, strict=True)]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
-        self.known.update(zip(segments, range(len(self.same), len(self.same) + len(segments)), strict=True))
+        first = len(self.same)
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(own), np.int32, sizes.sum())])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.same = np.concatenate([self.same, np.fromiter(map(eq, own, expected), bool, len(own))])
+        self.known.update(zip(segments, range(first, first + len(segments)), strict=True))  # last: all else is in place
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         """The tokenizers library's ids of each text, and whether the reference agrees on all its segments."""
@@ -128,6 +129,18 @@ class Codec:
         return out
 
 
+_KEPT: dict[tuple[str, int], Codec] = {}  # one at most
+
+
+def kept_codec(model: bytes, store: int) -> Codec:
+    """The worker's codec: tasks that a worker runs one after another share what it has learned, ``store`` segments at most."""
+    key = (hashlib.sha256(model).hexdigest(), store)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Codec(model, store)
+    return _KEPT[key]
+
+
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = chars = 0
     for i, text in enumerate(texts):
@@ -188,7 +201,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     @F.pandas_udf("struct<n_tokens: bigint, ids_sha256: string, text_sha256: string, lossless: boolean, parity: boolean>")
     @releasing
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model, ROUND_TRIP_STORE)
+        codec = kept_codec(model, ROUND_TRIP_STORE)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
             rows = []
