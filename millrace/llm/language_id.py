@@ -22,6 +22,7 @@ from millrace.llm.words import WordStore, groups, releasing, sums
 
 MAX_WORD = 48
 STORE, PREDICTION_STORE = 200_000, 400_000  # words that a task remembers, where memory is short and where it is not
+CHARS = 500_000  # of texts whose words are looked up at once, unless one text alone is longer
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = "▁"
 _UNKNOWN_CHAR = 1e-7  # share of mass a language gives to characters outside the vocabulary, before training
@@ -195,7 +196,7 @@ class Scorer:
             return langs, shares
         known = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))]
         whole = [texts[i] for i in known]
-        for start, end in groups(whole):
+        for start, end in groups(whole, CHARS):
             words = [words_of(t) for t in whole[start:end]]
             logs = sums(self.store.rows([w for each in words for w in each]), list(map(len, words)))
             best = logs.argmax(axis=1)

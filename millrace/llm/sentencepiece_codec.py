@@ -152,6 +152,13 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _frames(codec: Codec, texts: list[str]) -> Iterator[pd.DataFrame]:
+    """input_ids and parity of every text, a part of the texts at a time."""
+    for start, end in _parts(texts):
+        found = codec.encode(texts[start:end])
+        yield pd.DataFrame({"input_ids": [x[0] for x in found], "parity": [x[1] for x in found]})
+
+
 def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of ``docs``, with input_ids (array of int) and parity of every text.
 
@@ -165,9 +172,7 @@ def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(model)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch]
-            found = [x for a, b in _parts(texts) for x in codec.encode(texts[a:b])]
-            yield pd.DataFrame({"input_ids": [x[0] for x in found], "parity": [x[1] for x in found]})
+            yield from _frames(codec, [t if isinstance(t, str) else "" for t in batch])
 
     out = docs.select(*columns, run("text").alias("_found"))
     return out.select(*columns, "_found.input_ids", "_found.parity")

@@ -67,12 +67,12 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return released
 
 
-def groups(texts: Sequence[str], most: int = CHARS) -> Iterator[tuple[int, int]]:
+def groups(texts: Sequence[str], most: int = CHARS, number: int = TEXTS) -> Iterator[tuple[int, int]]:
     """Start and end of groups of texts, so that words are looked up for many texts at once."""
     start = chars = 0
     for i, text in enumerate(texts):
         chars += len(text)
-        if chars >= most or i - start >= TEXTS:
+        if chars >= most or i - start >= number:
             yield start, i + 1
             start, chars = i + 1, 0
     if start < len(texts):

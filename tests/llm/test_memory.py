@@ -1,9 +1,10 @@
 """What workers remember from task to task, and what they give back."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from millrace.llm import near_copies, sentencepiece_codec
+from millrace.llm import language_id, near_copies, sentencepiece_codec
 from millrace.llm.queries import SENTENCEPIECE
 
 
@@ -36,3 +37,35 @@ def test_large_cells_hand_memory_back(monkeypatch):
         )
         assert near_copies._pairs_across(cell, 0.8).num_rows == 0
         assert len(freed) == times
+
+
+def test_texts_are_hashed_in_bounded_groups():
+    seen = []
+
+    class Hashes(near_copies.WordHashes):
+        def __call__(self, texts):
+            seen.append(sum(map(len, texts)))
+            return super().__call__(texts)
+
+    texts = pd.Series([f"{i} " * (near_copies.CHARS // 8) for i in range(9)] + ["", "a b"] * 300)
+    found = [own.tolist() for part in near_copies._shingles(texts, Hashes(), 5) for own in part]
+    one = near_copies.WordHashes()
+    assert found == [near_copies.shingle_hashes(one([t.encode()])[0], 5).tolist() for t in texts]
+    assert max(seen) < near_copies.CHARS + max(map(len, texts))
+
+
+def test_words_are_looked_up_in_bounded_groups():
+    scorer = language_id.Scorer(["▁a", "▁b"], ["x", "y"], np.array([[0.8, 0.2], [0.1, 0.7], [0.1, 0.1]]))
+    seen, rows = [], scorer.store.rows
+    scorer.store.rows = lambda words: (seen.append(len(words)), rows(words))[1]
+    texts = ["a " * (language_id.CHARS // 4), "b " * (language_id.CHARS // 4)] * 3
+    assert scorer.predict(texts)[0] == ["x", "y"] * 3
+    assert max(seen) * 2 <= language_id.CHARS + len(texts[0])
+
+
+def test_ids_leave_a_worker_in_parts():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(SENTENCEPIECE))
+    texts = ["one " * (sentencepiece_codec.CHARS // 8), ""] * 5
+    frames = list(sentencepiece_codec._frames(codec, texts))
+    assert len(frames) > 1
+    assert [x.tolist() for f in frames for x in f["input_ids"]] == [x.tolist() for x, _ in codec.encode(texts)]
