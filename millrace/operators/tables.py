@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LAYERS = ("bronze", "silver", "gold")
+AT_ONCE = 4  # tables written at a time
 _STAMP = "%Y%m%dT%H%M%S%f"
 
 
@@ -56,6 +59,20 @@ def write_layer_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()
     _writer(df, "overwrite", partition_by, rebalance).parquet(path)
 
 
+def write_layer_tables(written: Mapping[str, DataFrame]) -> None:
+    """Create or replace tables that do not depend on each other, given by path.
+
+    A few are written at a time: a table of few or uneven files and the last tasks of any leave cores idle, which take
+    tasks of the next table then. No executor runs more tasks at once than before.
+    """
+    with ThreadPoolExecutor(AT_ONCE) as writers:
+        writes = [
+            writers.submit(inheritable_thread_target(df.sparkSession)(write_layer_table), df, path) for path, df in written.items()
+        ]
+    for write in writes:
+        write.result()
+
+
 def append_layer_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), rebalance: bool = True) -> None:
     """Append rows. Nothing is counted first: an empty append only adds an empty file."""
     _writer(df, "append", partition_by, rebalance).parquet(path)

@@ -69,10 +69,9 @@ def _rate_sql() -> str:
 def storage_bytes(spark, sf):
     """Listed files and bytes per table, next to the rows the table holds."""
     root = scratch(spark, "lake")
-    paths = {}
-    for name in registry.BRONZE_TABLES:
-        paths[name] = tables.table_path(root, "bronze", name)
-        tables.write_layer_table(inputs.bronze_tables(spark, sf)[name], paths[name])
+    bronze = inputs.bronze_tables(spark, sf)
+    paths = {name: tables.table_path(root, "bronze", name) for name in registry.BRONZE_TABLES}
+    tables.write_layer_tables({path: bronze[name] for name, path in paths.items()})
     listed = tables.storage_files(spark, paths)
     # Byte counts depend on the writer; that there are some does not.
     sizes = serving.storage_bytes(listed).select("table", (F.col("storage_bytes") > 0).alias("has_bytes"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,27 @@ def test_stored_keys_are_compared_without_moving_the_new_ones_again(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == [("a", 2), (None, 1), (None, 1)]
     # The rows are computed twice, for those with a key and those without; no third time for a list of their keys.
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 0
+
+
+def test_tables_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
+    """A table's write begins while another's still runs, and all tables are written in full."""
+    write, meeting, joined = tables.write_layer_table, threading.Barrier(2), []
+
+    def with_another(df, path):
+        joined.append(path)
+        if len(joined) <= 2:
+            meeting.wait(timeout=60)
+        write(df, path)
+
+    monkeypatch.setattr(tables, "write_layer_table", with_another)
+    written = {str(tmp_path / f"t{i}"): spark.range(10 * i) for i in range(6)}
+    tables.write_layer_tables(written)
+    assert [spark.read.parquet(path).count() for path in written] == [0, 10, 20, 30, 40, 50]
+
+
+def test_a_failed_write_is_raised(spark, tmp_path):
+    taken = tmp_path / "file"
+    taken.write_text("")
+    with pytest.raises(Exception, match="file"):
+        tables.write_layer_tables({str(tmp_path / "good"): spark.range(3), f"{taken}/below": spark.range(2)})
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 3
