@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +13,14 @@ from millrace.plans import gold, silver
 
 @dataclass(frozen=True)
 class Context:
-    """Values a run fixes once, so results do not depend on the clock."""
+    """Values a run fixes once, so results do not depend on the clock.
+
+    ``columns``: of models built from payloads, the columns somebody reads; all of those not named.
+    """
 
     as_of: dt.date
     loaded_at: Column
+    columns: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -105,7 +109,9 @@ MODELS: dict[str, Model] = {
             "silver_mes_production_orders",
             "silver",
             ("mes_production_orders",),
-            lambda t, c: silver.mes_production_orders(t["mes_production_orders"], c.loaded_at),
+            lambda t, c: silver.mes_production_orders(
+                t["mes_production_orders"], c.loaded_at, c.columns.get("silver_mes_production_orders")
+            ),
             ("order_id",),
             None,
             _unique("order_id") + _one_of("status", "COMPLETED", "IN_PROGRESS", "ON_HOLD"),
@@ -114,7 +120,9 @@ MODELS: dict[str, Model] = {
             "silver_iqms_quality_tests",
             "silver",
             ("iqms_quality_tests",),
-            lambda t, c: silver.iqms_quality_tests(t["iqms_quality_tests"], c.loaded_at),
+            lambda t, c: silver.iqms_quality_tests(
+                t["iqms_quality_tests"], c.loaded_at, c.columns.get("silver_iqms_quality_tests")
+            ),
             ("test_id",),
             None,
             _unique("test_id") + _one_of("result", "PASS", "FAIL"),
@@ -123,7 +131,9 @@ MODELS: dict[str, Model] = {
             "silver_iqms_deviations",
             "silver",
             ("iqms_deviations",),
-            lambda t, c: silver.iqms_deviations(t["iqms_deviations"], c.as_of, c.loaded_at),
+            lambda t, c: silver.iqms_deviations(
+                t["iqms_deviations"], c.as_of, c.loaded_at, c.columns.get("silver_iqms_deviations")
+            ),
             ("deviation_id",),
             None,
             _unique("deviation_id") + _one_of("severity", "CRITICAL", "MAJOR", "MINOR"),
@@ -132,7 +142,9 @@ MODELS: dict[str, Model] = {
             "silver_trackwise_capas",
             "silver",
             ("trackwise_capas",),
-            lambda t, c: silver.trackwise_capas(t["trackwise_capas"], c.as_of, c.loaded_at),
+            lambda t, c: silver.trackwise_capas(
+                t["trackwise_capas"], c.as_of, c.loaded_at, columns=c.columns.get("silver_trackwise_capas")
+            ),
             ("capa_id",),
             None,
             _unique("capa_id") + _one_of("status", "OPEN", "IN_PROGRESS", "COMPLETED", "VERIFIED", "CLOSED"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,17 +259,47 @@ def production_orders(orders: DataFrame, sap: DataFrame) -> DataFrame:
     )
 
 
-def _parsed(raw: DataFrame, names: list[str]) -> DataFrame:
-    """Raw envelope rows with the payload's fields as text columns."""
-    return with_json_fields(raw.select("_raw_payload", *_ENVELOPE_TAIL), F.col("_raw_payload"), names).drop("_raw_payload")
+# Payload fields that a column is computed from, where it is not the field of its own name.
+_MADE_OF = {
+    "scrap_pct": ("scrap_percentage",),
+    "duration_minutes": ("start_time", "end_time"),
+    "pass_fail_flag": ("result",),
+    "spec_status": ("usl", "lsl"),
+    "severity_score": ("severity",),
+    "days_to_close": ("status", "detected_at"),
+    "is_open": ("status",),
+    "days_open": ("opened_date", "actual_close_date"),
+    "is_overdue": ("actual_close_date", "target_close_date"),
+    "sla_breach_flag": ("opened_date", "actual_close_date"),
+}
+
+
+def _parsed(raw: DataFrame, names: list[str], always: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """Raw envelope rows with the payload's fields as text columns.
+
+    A field that is read costs time for every row, also where nobody uses it: the optimizer drops no column of a
+    generator. With ``columns`` (those wanted of the silver table) only their fields and the ``always`` ones, on which the
+    choice of rows depends, are read; the others are NULL.
+    """
+    used = set(names) if columns is None else set(always).union(*[_MADE_OF.get(c, (c,)) for c in columns])
+    read = [n for n in names if n in used]
+    parsed = with_json_fields(raw.select("_raw_payload", *_ENVELOPE_TAIL), F.col("_raw_payload"), read).drop("_raw_payload")
+    return parsed.select("*", *[F.lit(None).cast("string").alias(n) for n in names if n not in used])
+
+
+def _wanted(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    return df if columns is None else df.select(*columns)
 
 
 def _newest_version(df: DataFrame, key: str) -> DataFrame:
     return keep_latest(df, [key], _NEWEST, ties=[F.col("_row_hash").asc()])
 
 
-def mes_production_orders(raw: DataFrame, loaded_at: Column | None = None) -> DataFrame:
-    """Production orders from payloads: usable quantities only, with duration and yield."""
+def mes_production_orders(raw: DataFrame, loaded_at: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Production orders from payloads: usable quantities only, with duration and yield.
+
+    With ``columns`` only these, from as few payload fields as they need; the rows are the same.
+    """
     got = _parsed(
         raw,
         [
@@ -287,6 +318,8 @@ def mes_production_orders(raw: DataFrame, loaded_at: Column | None = None) -> Da
             "start_time",
             "end_time",
         ],
+        always=["order_id", "product_code", "planned_qty", "actual_qty"],
+        columns=columns,
     ).withColumns(
         {
             "planned_qty": F.col("planned_qty").try_cast("int"),
@@ -303,7 +336,7 @@ def mes_production_orders(raw: DataFrame, loaded_at: Column | None = None) -> Da
         & (F.col("actual_qty") >= 0)
         & (F.col("planned_qty") > 0)
     )
-    return _newest_version(usable, "order_id").select(
+    result = _newest_version(usable, "order_id").select(
         "order_id",
         "product_code",
         "batch_number",
@@ -328,10 +361,14 @@ def mes_production_orders(raw: DataFrame, loaded_at: Column | None = None) -> Da
         *_loaded(loaded_at),
         F.lit(DATA_OWNER).alias("_data_owner"),
     )
+    return _wanted(result, columns)
 
 
-def iqms_quality_tests(raw: DataFrame, loaded_at: Column | None = None) -> DataFrame:
-    """Quality tests with a numeric result, judged against their specification limits."""
+def iqms_quality_tests(raw: DataFrame, loaded_at: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Quality tests with a numeric result, judged against their specification limits.
+
+    With ``columns`` only these, from as few payload fields as they need; the rows are the same.
+    """
     got = _parsed(
         raw,
         [
@@ -349,11 +386,13 @@ def iqms_quality_tests(raw: DataFrame, loaded_at: Column | None = None) -> DataF
             "tested_at",
             "approved_by",
         ],
+        always=["test_id", "result_value"],
+        columns=columns,
     ).withColumns({name: F.col(name).try_cast("double") for name in ("result_value", "usl", "lsl")})
     usable = got.where(F.col("test_id").isNotNull() & F.col("result_value").isNotNull())
     value = F.col("result_value")
     outcome = upper_trim(F.col("result"))
-    return _newest_version(usable, "test_id").select(
+    result = _newest_version(usable, "test_id").select(
         "test_id",
         "batch_number",
         "product_code",
@@ -377,10 +416,16 @@ def iqms_quality_tests(raw: DataFrame, loaded_at: Column | None = None) -> DataF
         *_loaded(loaded_at),
         F.lit(DATA_OWNER).alias("_data_owner"),
     )
+    return _wanted(result, columns)
 
 
-def iqms_deviations(raw: DataFrame, as_of: dt.date, loaded_at: Column | None = None) -> DataFrame:
-    """Deviations from payloads with severity points, age at closure and an open flag."""
+def iqms_deviations(
+    raw: DataFrame, as_of: dt.date, loaded_at: Column | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Deviations from payloads with severity points, age at closure and an open flag.
+
+    With ``columns`` only these, from as few payload fields as they need; the rows are the same.
+    """
     got = _parsed(
         raw,
         [
@@ -395,6 +440,8 @@ def iqms_deviations(raw: DataFrame, as_of: dt.date, loaded_at: Column | None = N
             "status",
             "root_cause",
         ],
+        always=["deviation_id"],
+        columns=columns,
     ).where(F.col("deviation_id").isNotNull())
     cleaned = got.withColumns(
         {
@@ -403,7 +450,7 @@ def iqms_deviations(raw: DataFrame, as_of: dt.date, loaded_at: Column | None = N
             "detected_at": iso_timestamp(F.col("detected_at")),
         }
     )
-    return _newest_version(cleaned, "deviation_id").select(
+    result = _newest_version(cleaned, "deviation_id").select(
         "deviation_id",
         "batch_number",
         "product_code",
@@ -421,14 +468,20 @@ def iqms_deviations(raw: DataFrame, as_of: dt.date, loaded_at: Column | None = N
         *_loaded(loaded_at),
         F.lit(DATA_OWNER).alias("_data_owner"),
     )
+    return _wanted(result, columns)
 
 
 def trackwise_capas(
-    raw: DataFrame, as_of: dt.date, loaded_at: Column | None = None, latest_by_key: bool = False
+    raw: DataFrame,
+    as_of: dt.date,
+    loaded_at: Column | None = None,
+    latest_by_key: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Corrective actions with age, overdue and long-running flags, one row per message.
 
-    ``latest_by_key`` keeps only the newest message of each action.
+    ``latest_by_key`` keeps only the newest message of each action. With ``columns`` only these, from as
+    few payload fields as they need; the rows are the same.
     """
     got = _parsed(
         raw,
@@ -447,6 +500,8 @@ def trackwise_capas(
             "status",
             "effectiveness_verified",
         ],
+        always=["capa_id"],
+        columns=columns,
     ).where(F.col("capa_id").isNotNull())
     if latest_by_key:
         got = _newest_version(got, "capa_id")
@@ -456,7 +511,7 @@ def trackwise_capas(
     today = F.lit(as_of)
     days_open = F.datediff(F.coalesce("actual_close_date", today), F.col("opened_date"))
     overdue = F.col("actual_close_date").isNull() & (today > F.col("target_close_date"))
-    return dated.select(
+    result = dated.select(
         "capa_id",
         "capa_type",
         "title",
@@ -477,6 +532,7 @@ def trackwise_capas(
         *_loaded(loaded_at),
         F.lit(DATA_OWNER).alias("_data_owner"),
     )
+    return _wanted(result, columns)
 
 
 def sap_inventory(sap: DataFrame) -> DataFrame:

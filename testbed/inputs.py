@@ -469,8 +469,8 @@ def now():
     return F.lit(INGESTED)
 
 
-def context(as_of: dt.date = EVENTS_AS_OF) -> Context:
-    return Context(as_of=as_of, loaded_at=now())
+def context(as_of: dt.date = EVENTS_AS_OF, columns: Mapping | None = None) -> Context:
+    return Context(as_of=as_of, loaded_at=now(), columns=columns or {})
 
 
 _LOADS = {

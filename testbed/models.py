@@ -91,12 +91,12 @@ STORED_FIRST = {
 AS_OF = {"silver_trackwise_capas": inputs.CAPAS_AS_OF, "gold_compliance_capa_mart": inputs.CAPAS_AS_OF}
 
 
-def model(spark, sf_dir: str, name: str, as_of: dt.date | None = None):
-    """A silver or gold table over the given tables, as one lazy plan."""
+def model(spark, sf_dir: str, name: str, as_of: dt.date | None = None, columns: list[str] | None = None):
+    """A silver or gold table over the given tables, as one lazy plan. ``columns``: those to be built, of a table made of payloads."""
     when = as_of or AS_OF.get(name, inputs.EVENTS_AS_OF)
     # Tables that several inputs are built from are stored first, as the pipeline does; other plans stay in one piece.
     done = stored_models(spark, sf_dir, *STORED_FIRST[name], as_of=as_of) if name in STORED_FIRST else None
-    return registry.build(name, inputs.bronze_tables(spark, sf_dir), inputs.context(when), done)
+    return registry.build(name, inputs.bronze_tables(spark, sf_dir), inputs.context(when, columns and {name: columns}), done)
 
 
 def stored(spark, df, label: str):

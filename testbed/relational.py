@@ -64,17 +64,22 @@ def join_latest_lookup(spark, sf):
 
 
 def join_left_composite(spark, sf):
-    orders = model(spark, sf, "silver_mes_production_orders").groupBy("machine_id", F.to_date("start_time").alias("day")).agg(
+    made = model(spark, sf, "silver_mes_production_orders", columns=["machine_id", "start_time", "actual_qty"])
+    tested = model(spark, sf, "silver_iqms_quality_tests", columns=["machine_id", "tested_at", "pass_fail_flag"])
+    orders = made.groupBy("machine_id", F.to_date("start_time").alias("day")).agg(
         F.sum("actual_qty").alias("made")
     )
-    tests = model(spark, sf, "silver_iqms_quality_tests").groupBy("machine_id", F.to_date("tested_at").alias("day")).agg(
+    tests = tested.groupBy("machine_id", F.to_date("tested_at").alias("day")).agg(
         F.count_if("pass_fail_flag").alias("passed")
     )
     return present(orders.join(tests, ["machine_id", "day"], "left"), "machine_id day:d made passed")
 
 
 def join_left_filtered(spark, sf):
-    built = model(spark, sf, "silver_trackwise_capas"), model(spark, sf, "silver_iqms_deviations")
+    built = (
+        model(spark, sf, "silver_trackwise_capas", columns=["product_code", "opened_date"]),
+        model(spark, sf, "silver_iqms_deviations", columns=["product_code", "detected_at", "severity"]),
+    )
     capas = built[0].groupBy("product_code", month_start(F.col("opened_date")).alias("month")).agg(F.count(F.lit(1)).alias("capas"))
     critical = (
         built[1].where("severity = 'CRITICAL'")
@@ -87,7 +92,7 @@ def join_left_filtered(spark, sf):
 def join_full_chain(spark, sf):
     key = ["product_code", "batch_number"]
     sides = [
-        model(spark, sf, name).groupBy(*key).agg(F.count(F.lit(1)).alias(alias))
+        model(spark, sf, name, columns=key).groupBy(*key).agg(F.count(F.lit(1)).alias(alias))
         for name, alias in (
             ("silver_mes_production_orders", "orders"),
             ("silver_iqms_quality_tests", "tests"),

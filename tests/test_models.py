@@ -176,6 +176,58 @@ def test_quality_test_limits(spark):
     assert got["1"]["pass_fail_flag"] and got["1"]["deviation_from_mean"] == 0.05
 
 
+@pytest.mark.parametrize(
+    ("name", "table", "key", "payload"),
+    [
+        (
+            "silver_mes_production_orders",
+            "mes_production_orders",
+            "order_id",
+            {"product_code": "p", "batch_number": "B", "machine_id": "M", "operator_id": "O", "shift": "a", "plant": "P1", "planned_qty": 100, "actual_qty": 90, "rejected_qty": 3, "scrap_percentage": 1.25, "status": "on_hold ", "start_time": "2024-01-01T00:00:00", "end_time": "2024-01-01T02:30:00"},
+        ),
+        (
+            "silver_iqms_quality_tests",
+            "iqms_quality_tests",
+            "test_id",
+            {"batch_number": "B", "product_code": "p", "machine_id": "M", "test_type": " assay", "result_value": 106, "usl": 105, "lsl": 95, "result": "pass", "analyst_id": "A", "equipment_id": "E", "tested_at": "2024-01-01T00:00:00", "approved_by": "C"},
+        ),
+        (
+            "silver_iqms_deviations",
+            "iqms_deviations",
+            "deviation_id",
+            {"batch_number": "B", "product_code": "p", "defect_code": "D", "severity": "major", "description": "d", "detected_by": "O", "detected_at": "2024-01-01T00:00:00", "status": "closed", "root_cause": "r"},
+        ),
+        (
+            "silver_trackwise_capas",
+            "trackwise_capas",
+            "capa_id",
+            {"capa_type": "t", "title": "x", "description": "d", "source": "s", "product_code": "p", "department": "q", "owner": "o", "opened_date": "2020-01-01", "target_close_date": "2020-02-01", "actual_close_date": "2020-09-01", "status": "closed", "effectiveness_verified": "true"},
+        ),
+    ],
+)
+def test_wanted_columns_are_those_of_the_whole_table(spark, name, table, key, payload):
+    """Any one column alone, and the rows behind it, are as in the table with all columns; other fields are not read."""
+    usable = payload | {key: "1"}
+    payloads = [usable, usable | {"batch_number": "old", "product_code": "q"}, payload | {key: "2"}, payload, "{broken", usable | {key: "{3}"}, usable | {key: {"a": 4}}]
+    payloads += [usable | {key: "5", field: None} for field in payload]
+    raw = envelope(spark, payloads)
+
+    def built(columns=None):
+        context = registry.Context(as_of=AS_OF, loaded_at=now(), columns={name: columns} if columns else {})
+        return registry.build(name, {table: raw}, context)
+
+    whole = built()
+    rows = whole.collect()
+    assert {r[key] for r in rows} >= {"1", "2", "{3}"}
+    plans = []
+    for column in whole.columns:
+        alone = built([column])
+        assert alone.columns == [column]
+        assert sorted(map(repr, (r[0] for r in alone.collect()))) == sorted(repr(r[column]) for r in rows), column
+        plans.append(alone._jdf.queryExecution().optimizedPlan().toString().split("json_tuple(")[1].split(")")[0])
+    assert max(len(p.split(",")) for p in plans) < len(payload)
+
+
 def test_capas(spark):
     payloads = [
         {"capa_id": "1", "opened_date": "2023-11-01T00:00:00", "target_close_date": "2024-01-31", "status": "open"},
