@@ -219,6 +219,7 @@ def pivot_status(spark, sf):
 
 def scalar_string(spark, sf):
     docs = inputs.table(spark, sf, "documents")
+    given = F.col("text").isNotNull()
     return docs.select(
         "doc_id",
         upper_trim(F.concat(F.lit("  "), "source", F.lit(" "))).alias("upper_source"),
@@ -226,8 +227,9 @@ def scalar_string(spark, sf):
         F.substring("text", 1, 100).alias("preview"),
         F.split_part(F.concat("lang", F.lit("."), "source"), F.lit("."), F.lit(2)).alias("second_part"),
         F.lower("source").endswith("1").alias("ends_with_one"),
-        F.length(compact_whitespace(F.col("text"))).alias("compact_length"),
-        F.element_at(empty_safe_words(F.col("text")), -1).alias("last_word"),
+        F.when(given, F.length(compact_whitespace(F.col("text")))).alias("compact_length"),
+        # A text without words has an empty last word, a missing text none.
+        F.when(given, F.coalesce(F.try_element_at(empty_safe_words(F.col("text")), F.lit(-1)), F.lit(""))).alias("last_word"),
     )
 
 

@@ -14,6 +14,7 @@ from millrace.functions import (
     severity_score,
     with_json_fields,
 )
+from testbed import registered
 
 
 def one(spark, column, rows=((1,),), schema="x int"):
@@ -106,3 +107,11 @@ def test_nested_values_are_told_apart_from_bracketed_strings(spark):
     df = spark.createDataFrame(rows, "payload string")
     got = with_json_fields(df, F.col("payload"), ["a", "b", "d"]).drop("payload")
     assert [tuple(r) for r in got.collect()] == [("[x", None, "1"), (None, "{y}", None), ("p", "2", "[1]"), (None,) * 3, (None,) * 3]
+
+
+def test_last_word_of_a_text_without_words(spark, tmp_path):
+    texts = [(1, " one \t two "), (2, ""), (3, "  \n"), (4, None)]
+    rows = [(i, text, "en", "src1", len(text or "")) for i, text in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registered()["scalar_string"].run(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r["compact_length"], r["last_word"]) for r in found] == [(7, "two"), (0, ""), (0, ""), (None, None)]
