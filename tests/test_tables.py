@@ -1,5 +1,6 @@
 import datetime as dt
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,24 @@ def test_a_failed_write_is_raised(spark, tmp_path):
     with pytest.raises(Exception, match="file"):
         tables.write_layer_tables({str(tmp_path / "good"): spark.range(3), f"{taken}/below": spark.range(2)})
     assert spark.read.parquet(str(tmp_path / "good")).count() == 3
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_a_write_leaves_no_shuffle_files_and_packs_its_table(spark, tmp_path):
+    before = _shuffle_files(spark)
+    held = [spark.range(1000).repartition(3, "id").withColumn("n", F.lit(n)) for n in range(3)]
+    tables.write_layer_table(held[0], str(tmp_path / "a"))
+    tables.append_layer_table(held[1], str(tmp_path / "a"))
+    tables.write_layer_tables({str(tmp_path / "b"): held[2]})
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 2000 and spark.read.parquet(str(tmp_path / "b")).count() == 1000
+    for _ in range(50):  # files go in the background
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before + 4  # those of the two counts
+    assert list((tmp_path / "a").glob("*.zstd.parquet"))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
