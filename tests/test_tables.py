@@ -198,3 +198,26 @@ def test_a_write_leaves_no_shuffle_files_and_packs_its_table(spark, tmp_path):
     assert _shuffle_files(spark) <= before + 4  # those of the two counts
     assert list((tmp_path / "a").glob("*.zstd.parquet"))
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+@pytest.mark.parametrize("looked_up", [0, 2, 5, 1000])
+def test_fresh_rows_are_those_of_the_anti_join(spark, monkeypatch, looked_up):
+    monkeypatch.setattr(merge, "LOOKED_UP", looked_up)
+    rows = [(f"h{i % 11}" if i % 9 else None, i % 3 if i % 7 else None, i % 5, f"payload {i % 5} {i % 11}") for i in range(120)]
+    new = spark.createDataFrame(rows, "h string, o int, v int, p string")
+    for known in ([], [("h1", 1), ("h1", 1), ("h2", 2), (None, 1), ("h99", 0)], [(f"h{i % 11}", i % 3) for i in range(40)], [(r[0], r[1]) for r in rows]):
+        old = spark.createDataFrame(known, "h string, o int") if known else None
+        got = merge.fresh_rows(new, old, ["h", "o"], ["v"])
+        assert got.columns == new.columns
+        assert rows_of(got) == rows_of(merge.anti_join_existing(new, old, ["h", "o"], ["v"]))
+    alone = new.where("h is not null and o is not null").dropDuplicates(["h", "o"]).localCheckpoint()
+    assert rows_of(merge.fresh_rows(alone, None, ["h", "o"])) == rows_of(alone)
+
+
+def test_new_raw_rows_are_not_moved(spark):
+    rows = spark.createDataFrame([(f"h{i}", i, "payload") for i in range(20)], "h string, o int, p string")
+    old = spark.createDataFrame([("h3", 3)], "h string, o int")
+    plan = merge.fresh_rows(rows.union(rows.where("o = 5")), old, ["h", "o"], ["p"]).select("p")._jdf.queryExecution().optimizedPlan().toString()
+    first, others = plan.split("LeftAnti", 2)[:2]
+    assert "Window" not in first.split("Join")[0] and "broadcast" in others.split("\n")[0]
+    assert merge.fresh_rows(rows, old.where("o = 9"), ["h", "o"], ["p"]) is rows
