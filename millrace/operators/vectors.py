@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 CELL_VALUES = 2 << 20
 # Queries and corpus rows of one matrix product, so a score matrix stays near 8 MB.
 PRODUCT_QUERIES, PRODUCT_ROWS = 256, 4096
+SAMPLED = 1024  # scores of a query that its first bound comes from
 MAX_K = 10
 
 TABLES, BITS, PROBES = 8, 12, 16
@@ -37,6 +38,19 @@ def _best(rows: np.ndarray, keys: np.ndarray, scores: np.ndarray, k: int):
     return rows[keep], keys[keep], scores[keep]
 
 
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of every row, as a bound that k scores reach; none where there are fewer than k."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return np.where(np.isnan(floor), -np.inf, floor)
+
+
+def _below(floor: np.ndarray) -> np.ndarray:
+    """What a score must reach to be the floor or more once rounded; a column, one row for each query."""
+    return (floor - 1e-12 - 1e-15 * np.abs(floor))[:, None]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), width)
@@ -58,17 +72,23 @@ def _cell(k: int, metric: str, width: int, cell_values: int = CELL_VALUES) -> Ca
             parts = []
             for start in range(0, len(queries), query_step):
                 some = queries[start : start + query_step]
-                own = (held[0][:0], held[1][:0], held[2][:0])
+                own, waiting, floor = (held[0][:0], held[1][:0], held[2][:0]), [], None
                 for first in range(0, len(rows), row_step):
-                    # Rounded, so equal vectors tie whatever cell they came in.
-                    scores = np.round(some @ rows[first : first + row_step].T, 12)
-                    if scores.shape[1] > k:
-                        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                        at, column = np.nonzero(scores >= floor[:, None])
-                    else:
-                        at, column = np.nonzero(np.ones_like(scores, dtype=bool))
-                    new = (at + start, row_ids[first + column], scores[at, column])
-                    own = _best(*(np.concatenate(pair) for pair in zip(own, new)), k)
+                    scores = some @ rows[first : first + row_step].T
+                    if floor is None:
+                        floor = _kth(scores[:, :SAMPLED], k)
+                        bound = _below(floor)
+                    # Only what may still be among a query's k best is looked at again.
+                    at, column = np.nonzero(scores >= bound)
+                    if len(at):
+                        # Rounded, so equal vectors tie whatever cell they came in.
+                        waiting.append((at + start, row_ids[first + column], np.round(scores[at, column], 12)))
+                    if sum(len(w[0]) for w in waiting) >= k * len(some):
+                        own, waiting = _best(*(np.concatenate(c) for c in zip(own, *waiting)), k), []
+                        found = np.bincount(own[0] - start, minlength=len(some))
+                        floor[found == k] = own[2][np.cumsum(found)[found == k] - 1]
+                        bound = _below(floor)
+                own = _best(*(np.concatenate(c) for c in zip(own, *waiting)), k)
                 parts.append(own)
             held = tuple(np.concatenate(columns) for columns in zip(*parts))
         at, keys, scores = held

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import documents
+from millrace.operators import documents, vectors
 from millrace.operators.vectors import _grid, recall, vector_topk, vector_topk_lsh
 
 
@@ -213,3 +214,22 @@ def test_small_products_do_not_multiply_the_rows_that_move(spark):
     assert across <= 25 and down <= 25
     assert _grid(2000, 2000, 64, 8000, 12) == (1, 12)
     assert _grid(0, 0, 0, 8000, 4) == (1, 4)
+
+
+def test_few_scores_of_a_product_are_looked_at_again(monkeypatch):
+    """Each score costs one comparison; rounding and sorting are for those that may be among the best."""
+    numbers = np.random.default_rng(3)
+    values = numbers.integers(-3, 4, size=(900, 4)).astype(float)  # many ties
+    values[::50] = 0.0
+    table = pa.table({"id": pa.array(numbers.permutation(900)), "v": pa.array(list(values), pa.list_(pa.float64()))})
+    ids = table.column("id").to_numpy()
+    rounded, real = [], np.round
+    monkeypatch.setattr(vectors.np, "round", lambda x, *rest: rounded.append(x.size) or real(x, *rest))
+    for metric, cell_values in (("dot", 400), ("cosine", 400), ("dot", 1 << 20)):
+        rounded.clear()
+        got = vectors._cell(3, metric, 4, cell_values)(table, table)
+        assert sum(rounded) < 900 * 900 / 4
+        unit = vectors._unit_rows(values) if metric == "cosine" else values
+        scores = real(unit @ unit.T, 12)
+        want = {(q, h, -s) for i, q in enumerate(ids) for s, h in sorted(zip(-scores[i], ids))[:3]}
+        assert {tuple(r.values()) for r in got.to_pylist()} == want
