@@ -7,12 +7,14 @@ and counts the accepting states; the counts of all tasks are summed. Neighbourin
 candidates of the next level.
 
 What is broadcast is bounded: candidates beyond ``SHARD_PHRASES`` or ``SHARD_BYTES`` are cut into shards, each with its
-own trie and its own pass over the texts. Phrases at neighbouring positions may lie in different shards, so candidates of
-the next level are looked for with every pair of shards, and passes grow with the square of the number of shards.
+own trie and its own pass over the texts. The phrase at the neighbouring position may lie in another shard; whether it is a
+candidate at all is asked of a filter of all shards' candidates, which all tasks get. What the filter lets through wrongly is counted
+like the rest, exactly, and is then too rare: if the longer phrase is frequent, both of its parts are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +30,9 @@ MOST_WORDS, LEAST_COUNT, TOP = 5, 100, 2000
 SHARD_PHRASES, SHARD_BYTES = 500_000, 32_000_000
 UNKNOWN_LANG = "und"
 _CHUNK = 4_000_000  # bytes split into words at once, up to the next end of a piece
+_FILTER_BITS = 28  # a filter has 2 ** 28 bits (32 MB) at most, 16 or more for each candidate below that
+_TOGETHER = 16  # children of nodes that find their place in a trie together
+_DRAWN = 4096  # slots tried at least in a round of that
 _HELD = 500_000  # distinct words or pairs that a task holds before it passes them on
 
 # 0xFF never occurs in UTF-8: it marks the end of a piece.
@@ -109,20 +114,26 @@ class Trie:
 
     @staticmethod
     def _place(parent: np.ndarray, label: np.ndarray, nodes: int) -> np.ndarray:
-        """A base for every node so that no two nodes share a slot; those with most children first."""
+        """A base for every node so that no two nodes share a slot; those with most children first.
+
+        Large nodes are fitted one by one, from a floor that leaves crowded slots behind. Small ones of equal size are
+        fitted together: each tries free slots at random, those that meet nobody stay, and where hardly any does the
+        array grows. Only children fill the gaps. So the time is about in proportion to the nodes.
+        """
         base = np.zeros(nodes, np.int64)
         order = np.lexsort((label, parent))
         parent, label = parent[order], label[order]
         starts = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
         sizes = np.diff(np.append(starts, len(parent)))
-        taken = np.zeros(2 * len(parent) + 2 * int(label.max()) + 4096, bool)
+        widest = int(label.max()) + 1
+        taken = np.zeros(2 * len(parent) + 2 * widest + 4096, bool)
         taken[0] = True  # the root
         floor = 1
         for i in np.argsort(-sizes, kind="stable"):
-            if sizes[i] == 1:
+            if sizes[i] <= _TOGETHER:
                 break
             children = label[starts[i] : starts[i] + sizes[i]]
-            steps, at = children - children[0], floor
+            steps, at, windows = children - children[0], floor, 0
             while True:
                 if at + steps[-1] + 4096 >= len(taken):
                     taken = np.concatenate([taken, np.zeros(len(taken) + int(steps[-1]), bool)])
@@ -131,11 +142,33 @@ class Trie:
                 fits = fits[~taken[fits[:, None] + steps].any(axis=1)]
                 if len(fits):
                     break
+                windows += 1
                 at += 1024 if len(free) < 256 else int(free[-1]) + 1 - at
             taken[fits[0] + steps] = True
             base[parent[starts[i]]] = fits[0] - children[0]
-            while taken[floor : floor + 1024].all():
-                floor += 1024
+            if windows > 4:
+                floor = at
+        draw, owner = np.random.default_rng(0), np.zeros(len(taken), np.int32)
+        for size in range(_TOGETHER, 1, -1):
+            left = starts[sizes == size]
+            while len(left):
+                free = np.flatnonzero(~taken[: len(taken) - widest])
+                tries = max(1, _DRAWN // len(left))  # of each node in a round
+                number = np.arange(len(left) * tries)
+                node = left[number // tries]
+                first = draw.choice(free, len(number)) if len(free) else np.zeros(len(number), np.int64)
+                children = label[node[:, None] + np.arange(size)]
+                slots = first[:, None] + children - children[:, :1]
+                alone = np.flatnonzero(~taken[slots].any(axis=1))
+                owner[slots[alone]] = number[alone, None]
+                alone = alone[(owner[slots[alone]] == number[alone, None]).all(axis=1)]
+                fits = alone[np.unique(number[alone] // tries, return_index=True)[1]]
+                taken[slots[fits]] = True
+                base[parent[node[fits]]] = first[fits] - children[fits, 0]
+                if len(fits) < len(number) / 500 and len(fits) < len(left):
+                    more = len(taken) // 8 + widest // 4 + 64
+                    taken, owner = np.concatenate([taken, np.zeros(more, bool)]), np.concatenate([owner, np.zeros(more, np.int32)])
+                left = np.delete(left, number[fits] // tries)
         # An only child fits anywhere.
         single = starts[sizes == 1]
         if len(single):
@@ -159,10 +192,10 @@ class Trie:
 
 
 class _Shard:
-    """Candidates of one or two shards with their trie: what a pass needs."""
+    """Candidates of a shard with their trie: what a pass needs."""
 
-    def __init__(self, own: list[tuple[str, str]], others: list[tuple[str, str]] | None):
-        phrases = sorted(set(own) | set(others or ()))
+    def __init__(self, own: list[tuple[str, str]]):
+        phrases = sorted(set(own))
         words: dict[str, dict[bytes, int]] = {}
         number = 0
         rows = []
@@ -179,33 +212,96 @@ class _Shard:
         order = np.lexsort(table.T[::-1])
         self.words, self.phrases = words, [phrases[i] for i in order]
         self.trie = Trie(table[order])
-        first, last = set(own), set(own if others is None else others)
-        self.first = np.array([p in first for p in self.phrases])
-        self.last = np.array([p in last for p in self.phrases])
-        self.counted = others is None
+
+
+def _hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def _mixed(found: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of sequences that are one word longer."""
+    found = (found ^ words) * np.uint64(0x9E3779B97F4A7C15)
+    return found ^ (found >> np.uint64(29))
+
+
+class _Members:
+    """A filter of all candidates of a level: two bits of a hash for each. It holds all of them, and some others."""
+
+    def __init__(self, total: int):
+        self.width = min(_FILTER_BITS, max(10, (16 * total).bit_length()))
+        self.bits = np.zeros(1 << self.width - 3, np.uint8)
+
+    def _slots(self, hashes: np.ndarray) -> list[np.ndarray]:
+        mask = np.uint64((1 << self.width) - 1)
+        return [((hashes >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 32)]
+
+    def add(self, phrases: list[tuple[str, str]]) -> None:
+        known: dict[bytes, int] = {}
+        rows = [[lang.encode() + _BREAK, *phrase.encode().split(b" ")] for lang, phrase in phrases]
+        table = np.array([[known.get(w) or known.setdefault(w, _hash(w)) for w in row] for row in rows], np.uint64)
+        found = np.zeros(len(table), np.uint64)
+        for column in table.T:
+            found = _mixed(found, column)
+        for slot in self._slots(found):
+            np.bitwise_or.at(self.bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+
+    def holds(self, lang: str, sequences: Iterator[np.ndarray], count: int) -> np.ndarray:
+        """Of ``count`` sequences, given by the hashes of their first, second, ... words."""
+        found = _mixed(np.zeros(count, np.uint64), np.uint64(_hash(lang.encode() + _BREAK)))
+        for words in sequences:
+            found = _mixed(found, words)
+        one, two = ((self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 for slot in self._slots(found))
+        return (one & two).astype(bool)
+
+
+class _Pairs:
+    """Counts of pairs of numbers, the second below ``base``; few enough are held at once."""
+
+    def __init__(self, base: int):
+        self.base = base
+        self.pairs, self.counts, self.waiting, self.n_waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether so many are held that they should be passed on."""
+        self.waiting.append(a.astype(np.int64) * self.base + b)
+        self.n_waiting += len(a)
+        if self.n_waiting > 4 * _HELD:
+            self._merge()
+        return len(self.pairs) > 4 * _HELD
+
+    def _merge(self) -> None:
+        new, each = np.unique(np.concatenate(self.waiting), return_counts=True)
+        distinct, where = np.unique(np.concatenate([self.pairs, new]), return_inverse=True)
+        self.counts = np.bincount(where, np.concatenate([self.counts, each]), len(distinct)).astype(np.int64)
+        self.pairs, self.waiting, self.n_waiting = distinct, [], 0
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and second numbers and counts of all pairs, which are held no longer."""
+        if self.waiting:
+            self._merge()
+        a, b, n = self.pairs // self.base, self.pairs % self.base, self.counts
+        self.pairs, self.counts = self.pairs[:0], self.counts[:0]
+        return a, b, n
+
+
+def _rows(a: np.ndarray, b: pa.Array | None, n: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(a), 100_000):
+        part = slice(i, i + 100_000)
+        second = pa.nulls(len(a[part]), kind) if b is None else b[part]
+        yield pa.RecordBatch.from_arrays([pa.array(a[part].astype(np.int32)), second, pa.array(n[part])], names=["a", "b", "f"])
 
 
 def _pass(shared, find_next: bool):
-    """One pass over the texts: (a, null, count) of each phrase and (a, b, count) of neighbouring ones."""
+    """One pass over the texts with all candidates: (a, null, count) of each phrase and (a, b, count) of neighbouring ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: _Shard = shared.value
         total = len(shard.phrases)
-        counts = np.zeros(total, np.int64)
-        pairs, pair_counts, waiting, n_waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, each = np.unique(np.concatenate(waiting), return_counts=True)
-            both = np.concatenate([pairs, new])
-            distinct, where = np.unique(both, return_inverse=True)
-            return distinct, np.bincount(where, np.concatenate([pair_counts, each]), len(distinct)).astype(np.int64)
-
-        def rows(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(a), 100_000):
-                part = slice(i, i + 100_000)
-                second = pa.nulls(len(a[part]), pa.int32()) if b is None else pa.array(b[part].astype(np.int32))
-                arrays = [pa.array(a[part].astype(np.int32)), second, pa.array(n[part])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "f"])
+        counts, pairs = np.zeros(total, np.int64), _Pairs(total)
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            a, b, n = pairs.taken()
+            yield from _rows(a, pa.array(b.astype(np.int32)), n, pa.int32())
 
         for batch in batches:
             for lang, words in _by_lang(batch):
@@ -214,38 +310,81 @@ def _pass(shared, find_next: bool):
                     continue
                 numbers = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
                 at, phrase = shard.trie.matches(numbers)
-                if shard.counted:
-                    counts += np.bincount(phrase, minlength=total)
+                counts += np.bincount(phrase, minlength=total)
                 if find_next and len(at) > 1:
-                    near = (np.diff(at) == 1) & shard.first[phrase[:-1]] & shard.last[phrase[1:]]
-                    waiting.append(phrase[:-1][near].astype(np.int64) * total + phrase[1:][near])
-                    n_waiting += len(waiting[-1])
-                    if n_waiting > 4 * _HELD:
-                        pairs, pair_counts = merged()
-                        waiting, n_waiting = [], 0
-                        if len(pairs) > 4 * _HELD:
-                            yield from rows(pairs // total, pairs % total, pair_counts)
-                            pairs, pair_counts = pairs[:0], pair_counts[:0]
-        if waiting:
-            pairs, pair_counts = merged()
-        yield from rows(pairs // total, pairs % total, pair_counts)
+                    near = np.diff(at) == 1
+                    if pairs.add(phrase[:-1][near], phrase[1:][near]):
+                        yield from passed()
+        yield from passed()
+        some = np.flatnonzero(counts)
+        yield from _rows(some, None, counts[some], pa.int32())
+
+    return run
+
+
+def _pass_of_shard(shared, find_next: bool):
+    """One pass over the texts with one shard of the candidates: (a, null, count) of each phrase, and (a, next word, count)
+    where the words from the second one on are held by the filter of all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, members = shared.value
+        total, depth = len(shard.phrases), shard.trie.depth
+        counts, pairs = np.zeros(total, np.int64), _Pairs(1 << 31)
+        hashes: dict[bytes, int] = {}
+        nexts: dict[bytes, int] = {}  # words that follow a phrase
+
+        def hashed(word: bytes) -> int:
+            return hashes.get(word) or hashes.setdefault(word, _hash(word))
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            a, b, n = pairs.taken()
+            names = pa.array([w.decode() for w in nexts], pa.string())
+            nexts.clear()
+            yield from _rows(a, names.take(pa.array(b, pa.int64())), n, pa.string())
+
+        for batch in batches:
+            for lang, words in _by_lang(batch):
+                known = shard.words.get(lang)
+                if known is None:
+                    continue
+                distinct = list(dict.fromkeys(words))
+                place = dict(zip(distinct, range(len(distinct))))
+                places = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                numbers = np.fromiter((known.get(w, 0) for w in distinct), np.int64, len(distinct))
+                at, phrase = shard.trie.matches(numbers[places])
+                counts += np.bincount(phrase, minlength=total)
+                if not find_next:
+                    continue
+                inside = at + depth < len(places)
+                at, phrase = at[inside], phrase[inside]
+                whole = places[at + depth] != place.get(_BREAK, -1)
+                at, phrase = at[whole], phrase[whole]
+                if len(hashes) > _HELD:
+                    hashes.clear()
+                by_place = np.fromiter(map(hashed, distinct), np.uint64, len(distinct))
+                near = members.holds(lang, (by_place[places[at + k]] for k in range(1, depth + 1)), len(at))
+                last, which = np.unique(places[at[near] + depth], return_inverse=True)
+                numbered = np.fromiter((nexts.setdefault(distinct[i], len(nexts)) for i in last), np.int64, len(last))
+                if pairs.add(phrase[near], numbered[which]) or len(nexts) > _HELD:
+                    yield from passed()
+        yield from passed()
         some = np.flatnonzero(counts)
-        yield from rows(some, None, counts[some])
+        yield from _rows(some, None, counts[some], pa.string())
 
     return run
 
 
-def _named(shared):
+def _named(shared, sharded: bool):
     """Numbers of phrases back to words; a pair becomes the phrase one word longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value.phrases
+        phrases = (shared.value[0] if sharded else shared.value).phrases
         for batch in batches:
             langs, names = [], []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 lang, phrase = phrases[a]
                 langs.append(lang)
-                names.append(phrase if b is None else f"{phrase} {phrases[b][1].rsplit(' ', 1)[-1]}")
+                names.append(phrase if b is None else f"{phrase} {b if sharded else phrases[b][1].rsplit(' ', 1)[-1]}")
             arrays = [pa.array(langs, pa.string()), pa.array(names, pa.string()), batch.column("f")]
             yield pa.RecordBatch.from_arrays([*arrays, batch.column("b").is_valid()], names=["lang", "phrase", "f", "longer"])
 
@@ -264,19 +403,24 @@ def _level(texts: DataFrame, candidates: DataFrame, find_next: bool, least: int,
     def members(number: int) -> list[tuple[str, str]]:
         return [(r[0], r[1]) for r in marked.where(F.col("_s") == number).select("lang", "phrase").collect()]
 
+    everyone = _Members(size[0] if shards > 1 else 0)
+    if shards > 1 and find_next:
+        for i in range(shards):
+            if own := members(i):
+                everyone.add(own)
     found = None
     for i in range(shards):
         own = members(i)
-        for j in range(shards) if find_next else [i]:
-            others = None if i == j else members(j)
-            if not own or others == []:
-                continue
-            shared = spark.sparkContext.broadcast(_Shard(own, others))
-            part = texts.mapInArrow(_pass(shared, find_next), "a int, b int, f long")
-            part = part.groupBy("a", "b").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-            part = written(part.mapInArrow(_named(shared), "lang string, phrase string, f long, longer boolean"), "phrases")
-            shared.unpersist()
-            found = part if found is None else found.unionByName(part)
+        if not own:
+            continue
+        one = shards == 1
+        shared = spark.sparkContext.broadcast(_Shard(own) if one else (_Shard(own), everyone))
+        run, second = (_pass, "int") if one else (_pass_of_shard, "string")
+        part = texts.mapInArrow(run(shared, find_next), f"a int, b {second}, f long")
+        part = part.groupBy("a", "b").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        part = written(part.mapInArrow(_named(shared, not one), "lang string, phrase string, f long, longer boolean"), "phrases")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
     return found
 
 

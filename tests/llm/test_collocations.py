@@ -2,10 +2,12 @@
 
 import collections
 import re
+import time
 
 import numpy as np
 import pytest
 
+from millrace.llm import collocations as collocations_of
 from millrace.llm.collocations import Trie, collocations, phrase_counts, split_words
 
 SCHEMA = "lang string, text string"
@@ -129,3 +131,40 @@ def test_trie_finds_every_phrase():
         want = [(i, rows[tuple(text[i : i + depth])]) for i in range(len(text) - depth + 1) if tuple(text[i : i + depth]) in rows]
         at, row = Trie(phrases).matches(text)
         assert list(zip(at.tolist(), row.tolist())) == want
+
+
+def test_passes_grow_with_the_shards(spark, monkeypatch):
+    """One pass for each shard of a level, and none for pairs of shards."""
+    passes, made_pass = [], collocations_of._pass_of_shard
+    monkeypatch.setattr(collocations_of, "_pass_of_shard", lambda shared, find_next: passes.append(len(shared.value[0].phrases)) or made_pass(shared, find_next))
+    rows = [(lang, made(i, 150)) for i, lang in enumerate(["en"] * 6 + ["de"] * 3)]
+    _, counts = phrase_counts(spark.createDataFrame(rows, SCHEMA).repartition(3), 2, 4, 12)
+    want = plain_counts(rows, 2, 4)[1]
+    assert {(r.lang, tuple(r.phrase.split(" "))): r.f for r in counts.collect()} == want
+    by_level = [sum(len(p) == k for _, p in want) for k in (1, 2)]
+    assert sum(passes) == sum(by_level) and len(passes) <= sum(-(-n // 12) for n in by_level)
+
+
+def test_the_filter_holds_all_candidates_and_few_others():
+    phrases = [("en", f"w{i} w{i * 7 % 1000}") for i in range(1000)]
+    members = collocations_of._Members(len(phrases))
+    members.add(phrases[:500])
+    members.add(phrases[500:])
+
+    def held(lang, some):
+        words = [np.array([collocations_of._hash(p.split(" ")[k].encode()) for p in some], np.uint64) for k in (0, 1)]
+        return members.holds(lang, iter(words), len(some))
+
+    assert held("en", [p for _, p in phrases]).all()
+    assert held("de", [p for _, p in phrases]).mean() < 0.1 and held("en", [f"w{i} w{i + 1}" for i in range(1, 999)]).mean() < 0.1
+
+
+def test_large_tries_are_built_in_about_linear_time():
+    numbers = np.random.default_rng(5)
+    words = np.minimum(numbers.zipf(1.3, (1_000_000, 2)), 30_000)
+    phrases = np.unique(words, axis=0)
+    start = time.perf_counter()
+    trie = Trie(phrases)
+    assert time.perf_counter() - start < 20 and len(trie.base) < 20 * len(phrases)
+    at, row = trie.matches(np.append(phrases, np.zeros((len(phrases), 1), np.int64), axis=1).ravel())
+    assert (at == 3 * np.arange(len(phrases))).all() and (row == np.arange(len(phrases))).all()
